@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lm_score, simhash
+from . import classify, licences, lm_score, packing, pieces, rules, secrets, simhash, surrogates, telephony
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,13 +21,81 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.stupid_backoff(docs).select("doc_id", "n_tokens", "n_backoff", "score_micro")
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return telephony.store_texts(docs).select("doc_id", "stored.*")
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base, spans = F.col("secrets.base"), F.col("secrets.spans")
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    return secrets.scan(docs).select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"),
+    )
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, packing.word_length("text"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "rules.*")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rounded = [F.round(f"scores.{c}", 6).alias(f"{c}_score") for c in ("content", "meta", "quality")]
+    return scored.select("doc_id", *rounded, (F.col("scores.quality") >= 0.5).alias("kept"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shown = lambda c: F.array_join(F.transform(F.col(f"licences.{c}"), lambda s: F.concat_ws(":", s["name"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return licences.scan(docs).select(
+        "doc_id", shown("licences").alias("licences"), shown("sentences").alias("sentences"), F.size("licences.licences").cast("long").alias("n_licences"), "licences.n_unmatched"
+    )
+
+
+#: The key of the query; a user of the operator passes a secret one.
+DEMO_KEY = b"surrogates of the example query"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, DEMO_KEY).select("doc_id", "private.*")
+
+
+def tokenizer_path() -> str:
+    """The 32k BPE piece model of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, tokenizer_path()).select("doc_id", "encoded.*")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_media_columns": op2_media_columns,
+    "op3_secret_scans": op3_secret_scans,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_license_scans": op8_license_scans,
+    "op9_pii": op9_pii,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
