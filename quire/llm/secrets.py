@@ -53,8 +53,12 @@ def base_spans(text: Column) -> Column:
     """Spans of the rules: array of (start, kind index, end, said) by start, then kind."""
     assign = F.filter(found(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["said"], ASSIGN, 1)) >= 12)
     rows = [(0, assign), (1, found(text, ACCESS)), (2, found(text, HEX))]
-    tagged = [F.transform(x, lambda m, k=k: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), m["said"].alias("said"))) for k, x in rows]
-    return F.array_sort(F.concat(*tagged))
+    return F.array_sort(F.concat(*[of_kind(x, k) for k, x in rows]))
+
+
+def of_kind(matches: Column, kind: int) -> Column:
+    """Matches with the index of their kind."""
+    return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["said"].alias("said")))
 
 
 def joined(spans: Column) -> Column:
@@ -137,7 +141,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: lis
     free = F.filter(F.col(tokens), lambda x: ~F.exists(F.col(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     pairs = lambda x: F.length(x["said"]) - 1
     judged = F.filter(F.transform(free, lambda x: F.struct(x.alias("x"), log_ratio(x["said"], table).alias("r"))), lambda y: (y["r"] >= TOTAL) & (y["r"] >= PER_PAIR * pairs(y["x"])))
-    more = F.transform(judged, lambda y: F.struct(y["x"]["start"].alias("start"), F.lit(3).alias("kind"), y["x"]["end"].alias("end"), y["x"]["said"].alias("said")))
+    more = of_kind(F.transform(judged, lambda y: y["x"]), 3)
     return (
         docs.withColumn(t, text_of(text))
         .withColumn(base, base_spans(F.col(t)))
