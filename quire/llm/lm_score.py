@@ -114,7 +114,7 @@ def stupid_backoff(
             for k in range(order):
                 part, h = g.keys[k]
                 cut = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
-                for a, b in zip(cut, [*cut[1:], len(part)], strict=True):
+                for a, b in zip(cut, [*cut[1:], len(part)], strict=False):
                     out["part"].append(int(part[a]))
                     out["order"].append(k)
                     out["from"].append(own)
@@ -170,7 +170,8 @@ def stupid_backoff(
         out = rows.drop_columns([block])
         return out.append_column(n_tokens, pa.array(g.sizes)).append_column(n_backoff, pa.array(backs)).append_column(score, pa.array(sums))
 
-    dealt = docs.withColumn(block, F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]), F.lit(blocks)))
-    questions = dealt.select(F.col(block), F.col(text)).groupBy(block).applyInArrow(ask, "part long, `order` int, `from` long, hashes binary, times binary")
+    dealt = docs.withColumn(block, F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]), F.lit(blocks))).repartition(block)
+    # both uses read the same columns, so they share one exchange of the texts
+    questions = dealt.groupBy(block).applyInArrow(ask, "part long, `order` int, `from` long, hashes binary, times binary")
     answers = questions.groupBy("part", "order").applyInArrow(count, "to long, part long, `order` int, counts binary")
     return dealt.groupBy(block).cogroup(answers.groupBy("to")).applyInArrow(sum_up, shape)
