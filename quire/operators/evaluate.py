@@ -125,15 +125,59 @@ def error_detection(pred: DataFrame, truth: DataFrame, matches: DataFrame, page:
 def page_metrics(
     pred: DataFrame, truth: DataFrame, page: str = "page_id", least: float = 0.1, threshold: float = 0.58, normalize: Callable[[Column], Column] | None = None
 ) -> DataFrame:
-    """All metrics of every page with predictions or truths; ``normalize`` adds normalised text metrics."""
-    matches = match_regions(pred, truth, page, least)
-    out = per_page_counts(pred, truth, matches, page).select("*", *detection_metrics(F.col("true_positive"), F.col("predicted"), F.col("reference")))
-    parts = [text_metrics(pred, truth, matches, page), order_accuracy(pred, matches, page), empty_rate(pred, page), error_detection(pred, truth, matches, page, threshold)]
-    if normalize:
-        parts.append(text_metrics(pred, truth, matches, page, normalize, "normalized_"))
-    for part in parts:
-        out = out.join(part, page, "left")
-    return out.na.fill(0.0, ["order_accuracy", "empty_rate", "error_detection_rate"])
+    """All metrics of every page with predictions or truths; ``normalize`` adds normalised text metrics.
+
+    Matching runs once: matched truths meet their predictions in one full outer join, where every prediction and every
+    truth has one row, and one aggregation by page computes what the single functions above do.
+    """
+    has = set(pred.columns)
+    score = F.col("recognition_score").cast("double") if "recognition_score" in has else F.lit(None).cast("double")
+    low = score.isNull() | (score < threshold)
+    if "uncertain" in has:
+        low = low | F.coalesce("uncertain", F.lit(False))
+    if "ended_with_eos" in has:
+        low = low | ~F.coalesce("ended_with_eos", F.lit(True))
+    order = F.coalesce("reading_order", "pred_idx") if "reading_order" in has else F.col("pred_idx")
+    expected = F.coalesce("normalized_text", "text") if "normalized_text" in truth.columns else F.col("text")
+    p = pred.select(page, "pred_idx", F.col("text").alias("got"), F.coalesce(low, F.lit(True)).alias("low"), order.alias("o"))
+    t = truth.select(page, "ref_idx", F.col("text").alias("raw"), expected.alias("want"))
+    matched = t.join(match_regions(pred, truth, page, least).select(page, "ref_idx", "pred_idx"), [page, "ref_idx"], "left")
+    rows = p.join(matched, [page, "pred_idx"], "full_outer")
+    is_pred, is_truth = F.col("low").isNotNull(), F.col("ref_idx").isNotNull()
+    both = is_pred & is_truth
+    wrong = is_pred & (~is_truth | (F.col("got") != F.col("raw")))
+
+    def sums(prefix: str, f: Callable[[Column], Column]) -> list[Column]:
+        want, got = f(F.col("want")), f(F.coalesce("got", F.lit("")))
+        return [
+            F.sum(F.when(is_truth, F.length(want)).otherwise(0)).alias(f"{prefix}chars"),
+            F.sum(F.when(is_truth, edit_distance(want, got)).otherwise(F.length(got))).alias(f"{prefix}edits"),
+            F.count_if(is_truth & (want == got)).alias(f"{prefix}exact"),
+        ]
+
+    def shown(prefix: str) -> list[Column]:
+        chars, edits = F.col(f"{prefix}chars"), F.col(f"{prefix}edits")
+        rate = F.when(chars > 0, edits / chars).otherwise(F.when(edits > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+        return [
+            rate.alias(f"{prefix}cer"), ratio(F.col(f"{prefix}exact"), F.col("reference")).alias(f"{prefix}exact_rate"),
+            chars.alias(f"{prefix}reference_characters"), edits.alias(f"{prefix}edit_distance"),
+        ]
+
+    sets = {"": lambda c: c} | ({"normalized_": normalize} if normalize else {})
+    totals = rows.groupBy(page).agg(
+        F.count_if(is_pred).alias("predicted"), F.count_if(is_truth).alias("reference"), F.count_if(both).alias("true_positive"),
+        *[c for prefix, f in sets.items() for c in sums(prefix, f)],
+        F.count_if(is_pred & is_blank(F.col("got"))).alias("blank"), F.count_if(wrong).alias("wrong"), F.count_if(wrong & F.col("low")).alias("pointed"),
+        F.array_sort(F.collect_list(F.when(both, F.struct("o", "pred_idx", "ref_idx")))).alias("ranks"),
+    )
+    ranks, n = F.transform("ranks", lambda m: m["ref_idx"]), F.col("true_positive")
+    later = F.aggregate(F.transform(ranks, lambda v, i: F.size(F.filter(F.slice(ranks, i + 2, F.size(ranks)), lambda w: v < w))), F.lit(0).cast("long"), lambda a, v: a + v)
+    errors = F.col("wrong") + F.col("reference") - n
+    return totals.select(
+        page, "predicted", "reference", "true_positive", *detection_metrics(n, F.col("predicted"), F.col("reference")), *[c for prefix in sets for c in shown(prefix)],
+        F.when(n > 1, later / (n * (n - 1) / 2)).otherwise(n.cast("double")).alias("order_accuracy"),
+        ratio(F.col("blank"), F.col("predicted")).alias("empty_rate"), ratio(F.col("pointed"), errors).alias("error_detection_rate"),
+    )
 
 
 def screen_averages(lines: DataFrame, page: str = "page_id") -> DataFrame:

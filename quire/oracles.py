@@ -379,4 +379,16 @@ SELECT doc_id, lpad(lower(hex(list_reduce(list_prepend(2166136261::BIGINT, list_
     "floor_percentile": "SELECT l_orderkey, "
     + ", ".join(f"round(list_sort(list(l_extendedprice))[floor((count(*) - 1) * {p}::DOUBLE)::BIGINT + 1], 6) AS p{int(p * 100)}" for p in (0.05, 0.82, 0.95))
     + " FROM lineitem GROUP BY l_orderkey",
+    "manifest_pages": """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT 'https://m.example/biblio/' || o_custkey || '/manifest' AS source_url, i AS canvas_index, 'canvas/' || o_orderkey AS canvas_id, 'https://s.example/' || o_orderkey AS image_service_id,
+       CASE WHEN o_orderkey % 4 <> 0 THEN 'page ' || o_orderkey ELSE (i + 1)::VARCHAR END AS label, 'https://s.example/' || o_orderkey || '/full/1200,/0/default.jpg' AS image,
+       (o_orderkey % 1000)::DOUBLE AS width FROM o WHERE o_orderkey % 6 <> 0""",
+    "manifests": """WITH u AS (SELECT 'https://m.example/biblio/' || o_custkey || '/manifest' AS url, o_custkey, count(*) FILTER (o_orderkey % 6 <> 0) AS n_pages FROM orders GROUP BY o_custkey)
+SELECT url AS source_url, url, '無題のIIIF資料' AS title, 'm.example' AS attribution, o_custkey::VARCHAR AS record_id, n_pages, 'right-to-left' AS viewing_direction,
+       CASE WHEN n_pages = 0 THEN 'no pages' END AS error FROM u""",
+    "ground_truth_lines": f"""WITH {V_DET}, {V_TRUTH}
+SELECT page_id::VARCHAR AS canvas_id, ref_idx, text, x, y, width, height FROM v_truth WHERE page_id NOT IN (SELECT page_id FROM v_truth WHERE ref_idx = page_id % 60)""",
+    "nfkc": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",
+    "csv_lines": f"""WITH {V_DET}, {V_PRED}
+SELECT page_id::VARCHAR AS "canvasId", pred_idx AS "lineIndex", repeat(',', 10) || page_id || ',' || pred_idx || ',,,"a ""q"", ' || text || '",,,,,,' || ended_with_eos || repeat(',', 13) AS line FROM v_pred""",
 }

@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 
 from quire.functions import geometry as g
 from quire.functions import numeric, text
-from quire.operators import crops, detect, dictionary, evaluate, order, recognise, tiles
-from quire.plans import views
-from quire.plans.config import DETECTION
-from quire.sources import cache, records
+from quire.operators import crops, detect, dictionary, evaluate, order, pixels, recognise, retry, tiles
+from quire.plans import pages, views
+from quire.plans.config import DETECTION, Options
+from quire.sources import cache, manifest, records, truth
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -376,3 +376,85 @@ def upper_median(spark, d):
 def floor_percentile(spark, d):
     values = views.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_extendedprice").alias("v"))
     return done(values.select("l_orderkey", *[numeric.floor_percentile(F.col("v"), p).alias(f"p{int(p * 100)}") for p in (0.05, 0.82, 0.95)]))
+
+
+# --- sources, kernels and whole pages ---
+
+
+def _manifests(spark, d) -> DataFrame:
+    """A manifest per customer with a canvas per order."""
+    k = F.col("o_orderkey").cast("string")
+    body = F.struct(F.concat(F.lit("https://i.example/"), k).alias("id"), F.array(F.struct(F.concat(F.lit("https://s.example/"), k, F.lit("/")).alias("id"))).alias("service"))
+    inner = F.array(F.struct(F.array(F.struct(F.when(F.col("o_orderkey") % 6 != 0, body).alias("body"))).alias("items")))
+    canvas = F.struct(
+        F.col("o_orderkey").alias("o"), F.concat(F.lit("canvas/"), k).alias("id"), F.when(F.col("o_orderkey") % 4 != 0, F.struct(F.array(F.concat(F.lit("page "), k)).alias("en"))).alias("label"),
+        (F.col("o_orderkey") % 1000).alias("width"), inner.alias("items"),
+    )
+    grouped = views.table(spark, d, "orders").select("o_custkey", canvas.alias("c")).groupBy("o_custkey").agg(F.array_sort(F.collect_list("c")).alias("items"))
+    url = F.concat(F.lit("https://m.example/biblio/"), F.col("o_custkey").cast("string"), F.lit("/manifest"))
+    return grouped.select(url.alias("source_url"), F.to_json(F.struct(url.alias("id"), "items")).alias("raw"))
+
+
+@query
+def manifest_pages(spark, d):
+    _, rows = manifest.parse_manifests(_manifests(spark, d))
+    return done(rows.select("source_url", "canvas_index", "canvas_id", "image_service_id", "label", "image", "width"))
+
+
+@query
+def manifests(spark, d):
+    rows, _ = manifest.parse_manifests(_manifests(spark, d))
+    return done(rows.select("source_url", "url", "title", "attribution", "record_id", "n_pages", "viewing_direction", "error"))
+
+
+@query
+def ground_truth_lines(spark, d):
+    t = views.truths(views.detections(spark, d))
+    line = F.struct("ref_idx", F.when(F.col("ref_idx") != F.col("page_id") % 60, F.col("text")).alias("text"), F.struct("x", "y", "width", "height").alias("region"))
+    page = F.col("page_id").cast("string")
+    docs = t.select("page_id", line.alias("l")).groupBy("page_id").agg(F.array_sort(F.collect_list("l")).alias("lines"))
+    raw = docs.select(F.to_json(F.struct(page.alias("id"), F.lit("m").alias("manifestUrl"), page.alias("canvasId"), "lines")).alias("raw"))
+    good, _ = truth.parse_truth(raw)
+    return done(truth.truth_lines(good).select("canvas_id", "ref_idx", "text", "x", "y", "width", "height"))
+
+
+@query
+def nfkc(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", text.nfkc("text").alias("text"))
+
+
+@query
+def csv_lines(spark, d):
+    rows = views.predictions(views.detections(spark, d)).select(
+        F.col("page_id").cast("string").alias("canvasId"), F.col("pred_idx").alias("lineIndex"), F.concat(F.lit('a "q", '), "text").alias("text"), F.col("ended_with_eos").alias("endedWithEos")
+    )
+    return rows.select("canvasId", "lineIndex", records.csv_row(rows).alias("line"))
+
+
+@query
+def image_kernels(spark, d):
+    """Embeddings as 8 x 8 images: paper share, ink regions and deskew rank of each."""
+    images = views.table(spark, d, "embeddings").select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("embedding", lambda e: (e.cast("double") + 0.5) * 255).alias("pixels"))
+
+    def kernel(gray):
+        regions, share = pixels.paper_mask(gray)
+        return {"paper": round(share, 6), "n_paper": len(regions), "n_ink": len(pixels.uncovered_ink(gray, [])), "angle": pixels.rank_deskew_angles(gray)[0]}
+
+    out = pixels.map_images(images, kernel, "struct<paper:double,n_paper:bigint,n_ink:bigint,angle:double>", "r")
+    return out.select("vec_id", "r.*")
+
+
+@query
+def page_recognition(spark, d):
+    """Detections to ordered lines with a scorer that stands in for a model."""
+
+    def make_scorer():
+        def score(a):
+            doubt = 0.3 if a.det_idx % 3 == 0 and a.preprocessing == "original" else 0.9
+            return retry.Decoded(f"line {a.det_idx}", doubt, doubt, 2.0, True, 0.9)
+
+        return score
+
+    boxes = views.detections(spark, d).withColumns({"image_width": F.lit(440.0), "image_height": F.lit(700.0)})
+    lines = pages.recognise(boxes, make_scorer, Options.of(profile="balanced"))
+    return done(lines.select("page_id", "det_idx", "text", "recognition_score", "reason", "uncertain", "n_alternatives", "reading_order"))
