@@ -391,4 +391,29 @@ SELECT page_id::VARCHAR AS canvas_id, ref_idx, text, x, y, width, height FROM v_
     "nfkc": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",
     "csv_lines": f"""WITH {V_DET}, {V_PRED}
 SELECT page_id::VARCHAR AS "canvasId", pred_idx AS "lineIndex", repeat(',', 10) || page_id || ',' || pred_idx || ',,,"a ""q"", ' || text || '",,,,,,' || ended_with_eos || repeat(',', 13) AS line FROM v_pred""",
+    "merge_adjacent": f"""WITH RECURSIVE {V_DET},
+votes AS (SELECT page_id, count(*) FILTER (height >= width * 1.5) >= count(*) FILTER (width >= height * 1.5) AS v FROM v_det GROUP BY page_id),
+items AS (
+  SELECT page_id, v, {{'x': x, 'y': y, 'width': width, 'height': height, 'score': score}} AS b,
+         row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN v THEN y ELSE x END, CASE WHEN v THEN x ELSE y END, det_idx) AS k
+  FROM v_det JOIN votes USING (page_id)),
+walk AS (
+  SELECT page_id, v, 1::BIGINT AS k, b AS cur, []::STRUCT(x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE, score DOUBLE)[] AS open FROM items WHERE k = 1
+  UNION ALL
+  SELECT s.page_id, s.v, CASE WHEN hit IS NULL THEN s.k + 1 ELSE s.k END,
+         CASE WHEN hit IS NULL THEN i.b ELSE {{'x': least(o.x, s.cur.x), 'y': least(o.y, s.cur.y), 'width': greatest(o.x + o.width, s.cur.x + s.cur.width) - least(o.x, s.cur.x),
+           'height': greatest(o.y + o.height, s.cur.y + s.cur.height) - least(o.y, s.cur.y), 'score': greatest(o.score, s.cur.score)}} END,
+         CASE WHEN hit IS NULL THEN list_append(s.open, s.cur) ELSE list_filter(s.open, lambda b, j: j <> hit) END
+  FROM (SELECT *, open[hit] AS o FROM (
+          SELECT *, list_min(list_filter(list_transform(open, lambda b, j: CASE WHEN
+            least(CASE WHEN v THEN b.width ELSE b.height END, CASE WHEN v THEN cur.width ELSE cur.height END) > 0
+            AND greatest(0, CASE WHEN v THEN least(b.x + b.width, cur.x + cur.width) - greatest(b.x, cur.x) ELSE least(b.y + b.height, cur.y + cur.height) - greatest(b.y, cur.y) END)
+                / least(CASE WHEN v THEN b.width ELSE b.height END, CASE WHEN v THEN cur.width ELSE cur.height END) >= 0.65
+            AND greatest(0, CASE WHEN v THEN greatest(b.y, cur.y) - least(b.y + b.height, cur.y + cur.height) ELSE greatest(b.x, cur.x) - least(b.x + b.width, cur.x + cur.width) END)
+                <= greatest(CASE WHEN v THEN b.width ELSE b.height END, CASE WHEN v THEN cur.width ELSE cur.height END) * 1.2::DOUBLE
+            THEN j END), lambda j: j IS NOT NULL)) AS hit FROM walk WHERE cur IS NOT NULL)) s
+  LEFT JOIN items i ON i.page_id = s.page_id AND i.k = s.k + 1),
+ends AS (SELECT page_id, open FROM walk WHERE cur IS NULL),
+flat AS (SELECT page_id, unnest(range(len(open))) AS merged_idx, unnest(open) AS b FROM ends)
+SELECT page_id, merged_idx, b.x AS x, b.y AS y, b.width AS width, b.height AS height, round(b.score, 6) AS score, NULL::DOUBLE AS paper_score FROM flat""",
 }

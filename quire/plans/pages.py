@@ -22,7 +22,8 @@ def recognise(boxes: DataFrame, make_scorer: Callable[[], retry.Scorer], options
     sizes = boxes.groupBy(page).agg(F.max("image_width").cast("double").alias("image_width"), F.max("image_height").cast("double").alias("image_height"))
     kept = detect.global_nms(boxes, page)
     merged = detect.merge_adjacent(kept.withColumn("det_idx", F.col("rank").cast("long")), page, options.writing_mode)
-    lines = merged.withColumnRenamed("merged_idx", "det_idx")
+    # read by the clearance join and by the result: kept, so that merging runs once
+    lines = merged.withColumnRenamed("merged_idx", "det_idx").persist()
     near = crops.transverse_clearance(lines, page).join(sizes, page)
     padded = crops.expand_in(g.box(), F.col("before"), F.col("after"), F.col("image_width"), F.col("image_height"))
     prepared = near.withColumn("p", padded).select(page, "det_idx", "x", "y", "width", "height", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("x", "y", "width", "height")], F.lit(True).alias("has_crops"))
