@@ -13,14 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .common import fresh, slices, text_of
-from .features import COUNTS, RATIOS, describe, labelled
+from .features import RATIOS, describe, labelled
 
 #: Labelled and unlabelled pages that are fitted at most; scoring is not bounded.
 FIT_ROWS, POOL_ROWS = 20_000, 20_000

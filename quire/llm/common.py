@@ -69,12 +69,6 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def first_by_hash(df: DataFrame, key: str, rows: int, seed: int = 7) -> DataFrame:
-    """At most ``rows`` distinct keys: those with the smallest seeded hash. The same rows at any partitioning."""
-    order = F.xxhash64(F.col(key), F.lit(seed))
-    return df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(order, key).limit(rows)
-
-
 def batch_bytes(texts: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null as empty."""
     return pc.fill_null(texts, "").cast(pa.large_binary()).to_pylist()
