@@ -36,6 +36,20 @@ def recognise(boxes: DataFrame, make_scorer: Callable[[], retry.Scorer], options
     return order.reading_order(out, page, options.writing_mode, options.scattered)
 
 
+def with_tiles(boxes: DataFrame, local: DataFrame, tiles: DataFrame, options: Options, page: str = "page_id") -> DataFrame:
+    """Detections of whole pages and of their tiles together: restored to page coordinates, suppressed and merged again.
+
+    ``local``: page, tile_id, det_idx, box in tile coordinates, score. ``tiles``: page, tile_id, box, page_width,
+    page_height. Page detections come first where scores are equal, then those of the tiles in order of their id.
+    """
+    t = tiles.select(page, "tile_id", g.box().alias("t"), F.col("page_width").cast("double").alias("pw"), F.col("page_height").cast("double").alias("ph"))
+    moved = local.join(t, [page, "tile_id"]).select(page, "tile_id", "det_idx", g.restore(F.col("t"), g.box(), F.col("pw"), F.col("ph")).alias("b"), "score")
+    own = boxes.select(page, F.lit("").alias("tile_id"), "det_idx", g.box().alias("b"), "score")
+    every = evaluate.indexed(own.unionByName(moved), page, "place", "tile_id", "det_idx").select(page, F.col("place").cast("long").alias("det_idx"), "b.*", "score")
+    kept = detect.global_nms(every, page)
+    return detect.merge_adjacent(kept.withColumn("det_idx", F.col("rank").cast("long")), page, options.writing_mode)
+
+
 def apply_result(lines: DataFrame, pages: DataFrame, page: str = "page_id") -> DataFrame:
     """Lines in page coordinates: boxes scaled from image to page size (the image's where the page has none).
 

@@ -24,6 +24,20 @@ def latest(entries: DataFrame, key: str = "key", at: str = "saved_at", *ties: st
     return entries.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+#: Columns that an entry has beside the result.
+ENTRY = ("key", "manifest_url", "canvas_id", "image_service_id", "saved_at", "deleted")
+
+
+def entry_of(results: DataFrame, pages: DataFrame, page: str = "page_id") -> DataFrame:
+    """Results with the key columns of their pages (page, key, manifest_url, canvas_id, image_service_id)."""
+    return results.join(pages.select(page, *ENTRY[:4]), page)
+
+
+def result_of(entries: DataFrame) -> DataFrame:
+    """Entries without the key columns."""
+    return entries.drop(*ENTRY)
+
+
 class ResultCache:
     def __init__(self, spark: SparkSession, path: str, key: str = "key"):
         self.spark, self.path, self.key = spark, path, key

@@ -189,3 +189,11 @@ def test_results_scale_to_the_page(spark):
     lines = spark.createDataFrame([(0, 10.0, 20.0, 5.0, 5.0), (9, 1.0, 1.0, 1.0, 1.0)], "page_id int, x double, y double, width double, height double")
     sizes = spark.createDataFrame([(0, 200.0, 0.0, 100.0, 50.0)], "page_id int, width double, height double, image_width double, image_height double")
     assert [tuple(r) for r in pages.apply_result(lines, sizes).collect()] == [(0, 20.0, 20.0, 10.0, 5.0)]
+
+
+def test_tiles_add_detections(spark):
+    boxes = spark.createDataFrame([(0, 0, 0.0, 0.0, 20.0, 60.0, 0.9)], "page_id int, det_idx long, x double, y double, width double, height double, score double")
+    tiles = spark.createDataFrame([(0, "1-0", 0.0, 100.0, 100.0, 100.0, 100, 200)], "page_id int, tile_id string, x double, y double, width double, height double, page_width int, page_height int")
+    local = spark.createDataFrame([(0, "1-0", 0, 60.0, 90.0, 20.0, 60.0, 0.8), (0, "1-0", 1, 0.0, -100.0, 20.0, 160.0, 0.5)], "page_id int, tile_id string, det_idx long, x double, y double, width double, height double, score double")
+    rows = sorted((r["x"], r["y"], r["width"], r["height"]) for r in pages.with_tiles(boxes, local, tiles, Options.of(writing_mode="vertical")).collect())
+    assert rows == [(0.0, 0.0, 20.0, 60.0), (60.0, 190.0, 20.0, 10.0)]

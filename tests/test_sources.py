@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import dictionary
-from quire.sources import cache, manifest, records, synonyms, truth
+from quire.sources import cache, manifest, records, responses, synonyms, truth
 from quire.streaming import arrivals
 
 V2 = {
@@ -155,3 +155,18 @@ def test_arrivals(spark, tmp_path):
     stream = arrivals.arriving(spark, str(tmp_path / "in"), frame.schema)
     arrivals.evaluate_arrivals(stream, lambda b: b.agg(F.sum("v").alias("s")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("s")).first()[0] == 20
+
+
+def test_responses(spark):
+    body = json.dumps({"predictions": [["甲", 0.5], ["乙", "x"], [1, 2], ["丙", 1]]})
+    rows = [(1, body, 200), (2, "{", 200), (3, "{}", 200), (4, json.dumps({"error": "busy"}), 503), (5, "{}", 500)]
+    got = {r["i"]: r for r in responses.classified(spark.createDataFrame(rows, "i int, body string, code int"), status="code").collect()}
+    assert [tuple(p) for p in got[1]["predictions"]] == [("甲", 0.5), ("丙", 1.0)] and got[1]["error"] is None
+    assert [got[i]["error"] for i in (2, 3, 4, 5)] == ["not JSON", "no predictions", "failed: busy", "failed"]
+    urls = spark.createDataFrame([("a b",), ("a b",), (None,)], "url string")
+    assert [r["u"] for r in responses.distinct_requests(urls).select(responses.viewer_address("https://v/?x=1", F.col("url")).alias("u")).collect()] == ["https://v/?x=1&manifest=a+b"]
+    assert responses.presets(spark, [("t", "d", "e", None, "u")]).first()["url"] == "u"
+    pages = spark.sql("select 'c' as canvas_id, array(named_struct('region', cast(null as int)), named_struct('region', 5)) as lines")
+    assert [tuple(r) for r in responses.regions_of(pages).collect()] == [("c", 1, 5)]
+    entries = cache.entry_of(spark.createDataFrame([(1, "v")], "page_id int, v string"), spark.createDataFrame([(1, "k", "m", "c", "s")], "page_id int, key string, manifest_url string, canvas_id string, image_service_id string"))
+    assert entries.first()["key"] == "k" and cache.result_of(entries).columns == ["page_id", "v"]
