@@ -6,6 +6,8 @@ A dictionary is a table (entry_idx, normalized, variants array), in order. It is
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +32,15 @@ def resolve(entries: DataFrame) -> list[tuple[str, str]]:
     return got
 
 
+def _listed(entries: DataFrame) -> Column:
+    """All entries as one array literal, bounded by ``MOST_PAIRS``."""
+    rows = entries.select("entry_idx", "normalized").limit(MOST_PAIRS + 1).collect()
+    if len(rows) > MOST_PAIRS:
+        raise ValueError(f"a dictionary of over {MOST_PAIRS} entries")
+    kind = entries.schema["entry_idx"].dataType.simpleString()
+    return F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), f"array<struct<entry_idx:{kind},normalized:string>>")
+
+
 def normalize(text: Column, ordered: list[tuple[str, str]]) -> Column:
     """Replace variants one pair after another, as a rule list does: later pairs see what earlier ones wrote.
 
@@ -69,7 +80,7 @@ def search(texts: DataFrame, entries: DataFrame, key: str, text: str = "text", f
     heads = spelled.select(key, "form", F.explode(F.array_distinct(F.split("form", ""))).alias("head"))
     found = heads.join(F.broadcast(terms), "head").withColumn("position", F.instr("form", F.col("term")) - 1).where("position >= 0")
     best = found.groupBy(key, "entry_idx", "normalized").agg(F.min("position").alias("position"))
-    every = shown.where("t = ''").select(key).join(F.broadcast(entries.select("entry_idx", "normalized")), F.lit(True)).withColumn("position", F.lit(-1))
+    every = shown.where("t = ''").select(key, F.inline(_listed(entries)), F.lit(-1).alias("position"))
     order = Window.partitionBy(key).orderBy("position", F.when(F.col("position") >= 0, F.collate("normalized", "ja")), "entry_idx")
     return best.unionByName(every.select(key, "entry_idx", "normalized", "position")).withColumn("rank", F.row_number().over(order) - 1)
 
