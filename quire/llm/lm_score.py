@@ -11,8 +11,6 @@ grow in number with the corpus, so the chance of a collision does not grow with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,6 +33,17 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def pack(counts: np.ndarray) -> bytes:
+    """Counts as one byte each, 255 standing for those in the 8-byte integers that follow, in order."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<u8", offset=n)
+    return counts
+
+
 class Grams:
     """The n-grams of a block of texts: for each order, the hash and partition at each word, and its distinct entries."""
 
@@ -119,7 +128,7 @@ def stupid_backoff(
                     out["order"].append(k)
                     out["from"].append(own)
                     out["hashes"].append(h[a:b].tobytes())
-                    out["times"].append(g.times[k][a:b].astype(np.uint32).tobytes())
+                    out["times"].append(pack(g.times[k][a:b]))
         return pa.table(out, schema=asked)
 
     asked = pa.schema([("part", pa.int64()), ("order", pa.int32()), ("from", pa.int64()), ("hashes", pa.binary()), ("times", pa.binary())])
@@ -128,12 +137,11 @@ def stupid_backoff(
     def count(table: pa.Table) -> pa.Table:
         """One partition of one order of the count table, joined back to what the blocks asked."""
         hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        times = [np.frombuffer(x, np.uint32) for x in table.column("times").to_pylist()]
+        times = [unpack(x, len(h)) for x, h in zip(table.column("times").to_pylist(), hashes, strict=True)]
         known, where = np.unique(np.concatenate(hashes), return_inverse=True)
         counts = np.bincount(where, weights=np.concatenate(times), minlength=len(known)).astype(np.int64)
         mine, at = counts[where], np.cumsum([0, *map(len, hashes)])
-        width = np.uint32 if len(mine) == 0 or mine.max() < 1 << 32 else np.uint64
-        packed = [mine[a:b].astype(width).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        packed = [pack(mine[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.table({"to": table.column("from"), "part": table.column("part"), "order": table.column("order"), "counts": packed}, schema=told)
 
     shape = T.StructType([*docs.schema.fields, T.StructField(n_tokens, T.LongType()), T.StructField(n_backoff, T.LongType()), T.StructField(score, T.LongType())])
@@ -144,7 +152,8 @@ def stupid_backoff(
         got: list[np.ndarray] = []
         for k in range(order):
             own = answers.filter(pc.equal(answers.column("order"), k)).sort_by("part")
-            values = [np.frombuffer(c, np.uint64 if len(c) == 8 * n else np.uint32) for c, n in zip(own.column("counts").to_pylist(), np.bincount(g.keys[k][0])[np.unique(g.keys[k][0])] if len(g.keys[k][0]) else [], strict=True)]
+            sizes = np.unique(g.keys[k][0], return_counts=True)[1].tolist()
+            values = [unpack(c, n) for c, n in zip(own.column("counts").to_pylist(), sizes, strict=True)]
             flat = np.concatenate(values).astype(np.float64) if values else np.zeros(0)
             full = np.zeros(g.n)
             full[g.at[k]] = flat[g.entry[k]]
