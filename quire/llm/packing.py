@@ -29,7 +29,7 @@ from .common import WORD_PATTERN, text_of, written
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Pieces of one length that one task ranks, about.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 1_000
 
 
 def linear_cost(capacity: int, overhead: int = 64, quadratic: float = 1 / 16384) -> float:
@@ -163,8 +163,9 @@ def pack(docs: DataFrame, length: Column, keep: tuple[str, ...] = ("doc_id",), c
     counts = {r["piece_length"]: r["n"] for r in pieces.groupBy("piece_length").agg(F.count("*").alias("n")).collect()}
     places = split_at_bins(best_fit(counts, capacities, cost), capacities)
     # rank within a length: slices by row hash, numbered within each slice, offset by the slices before
-    wide = max(1, -(-max(counts.values(), default=1) // SLICE_ROWS))
-    cut = pieces.withColumn("_slice", F.floor((row / F.lit(float(1 << 63)) + 1) / 2 * wide).cast("int"))
+    widths = F.split(F.lit(",".join(str(-(-counts.get(s, 0) // SLICE_ROWS)) for s in range(largest + 1))), ",").cast("array<int>")
+    share = (row / F.lit(float(1 << 63)) + 1) / 2
+    cut = pieces.withColumn("_slice", F.floor(share * F.get(widths, F.col("piece_length"))).cast("int"))
     local = cut.withColumn("_local", F.row_number().over(Window.partitionBy("piece_length", "_slice").orderBy("_row", "piece", *keep)) - 1)
     sizes = cut.groupBy("piece_length", "_slice").agg(F.count("*").alias("_n"))
     before = sizes.select("piece_length", "_slice", (F.sum("_n").over(Window.partitionBy("piece_length").orderBy("_slice")) - F.col("_n")).alias("_before"))
