@@ -22,14 +22,23 @@ def is_finite(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, where a lambda would compute an expression for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def log_softmax(logits: Column) -> Column:
     """Log-softmax of an array. Other than finite values get minus infinity; none finite gives a flat distribution."""
     values = F.transform(logits, lambda v: v.cast("double"))
-    top = F.array_max(F.filter(values, is_finite))
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + F.when(is_finite(v), F.exp(v - top)).otherwise(F.lit(0.0)))
-    log_total = F.log(F.greatest(total, F.lit(FLOOR)))
-    flat = F.transform(values, lambda v: -F.log(F.size(values).cast("double")))
-    return F.when(top.isNull(), flat).otherwise(F.transform(values, lambda v: F.when(is_finite(v), v - top - log_total).otherwise(F.lit(float("-inf")))))
+
+    def shifted(x: Column) -> Column:
+        total = F.aggregate(x["v"], F.lit(0.0), lambda s, v: s + F.when(is_finite(v), F.exp(v - x["top"])).otherwise(F.lit(0.0)))
+        scores = lambda y: F.transform(y["v"], lambda v: F.when(is_finite(v), v - y["top"] - y["log_total"]).otherwise(F.lit(float("-inf"))))
+        flat = F.transform(x["v"], lambda v: -F.log(F.size(x["v"]).cast("double")))
+        whole = F.struct(x["v"].alias("v"), x["top"].alias("top"), F.log(F.greatest(total, F.lit(FLOOR))).alias("log_total"))
+        return F.when(x["top"].isNull(), flat).otherwise(let(whole, scores))
+
+    return let(values, lambda v: let(F.struct(v.alias("v"), F.array_max(F.filter(v, is_finite)).alias("top")), shifted))
 
 
 def probability(log_p: Column) -> Column:

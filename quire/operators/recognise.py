@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
-from quire.functions.numeric import FLOOR, log_softmax, probability
+from quire.functions.numeric import FLOOR, let, log_softmax, probability
 from quire.functions.text import edit_distance, is_blank, merge_pieces, utf16_length
 from quire.plans.config import RETRY
 
@@ -22,28 +22,28 @@ def decode(logits: Column, length: int, classes: int, charset: Column) -> Column
     spots = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda p: log_softmax(F.slice(logits, p * classes + 1, F.lit(classes))))
 
     def read(row: Column) -> Column:
-        top = F.array_max(row)
-        best = F.greatest(F.lit(1), F.array_position(row, top).cast("int")) - 1
-        # equal values share the top, so the margin is 0 then
-        rest = F.filter(row, lambda v, i: i != best)
-        second = F.array_max(rest)
-        margin = F.when(second.isNotNull() & (second > float("-inf")), F.greatest(F.lit(0.0), top - second)).otherwise(F.lit(0.0))
-        return F.struct(best.alias("best"), probability(top).alias("p"), margin.alias("margin"), probability(F.get(row, F.lit(0))).alias("eos"))
-
-    seen = F.transform(spots, read)
-    ends = F.array_position(F.transform(seen, lambda s: s["best"]), F.lit(0)).cast("int")
-    # a struct of shared parts, so that later expressions name them instead of repeating them
-    return _finish(seen, ends, length, charset)
-
-
-def _finish(seen: Column, ends: Column, length: int, charset: Column) -> Column:
-    def out(s: Column, e: Column) -> Column:
-        tokens = F.slice(s, F.lit(1), F.when(e > 0, e - 1).otherwise(F.lit(length)))
-        last = F.get(s, F.when(e > 0, e - 1).otherwise(F.lit(length - 1)))
+        def found(x: Column) -> Column:
+            # equal values share the top, so the margin is 0 then
+            second = F.array_max(F.filter(x["row"], lambda v, i: i != x["best"]))
+            margin = F.when(second > float("-inf"), F.greatest(F.lit(0.0), x["top"] - second)).otherwise(F.lit(0.0))
+            return F.struct(x["best"].alias("best"), probability(x["top"]).alias("p"), margin.alias("margin"), probability(F.get(x["row"], F.lit(0))).alias("eos"))
+
+        placed = lambda x: F.struct(row.alias("row"), x.alias("top"), (F.greatest(F.lit(1), F.array_position(row, x).cast("int")) - 1).alias("best"))
+        return let(let(F.array_max(row), placed), found)
+
+    def cut(seen: Column) -> Column:
+        e = F.array_position(F.transform(seen, lambda s: s["best"]), F.lit(0)).cast("int")
+        return let(e, lambda e: F.struct(
+            F.slice(seen, F.lit(1), F.when(e > 0, e - 1).otherwise(F.lit(length))).alias("tokens"),
+            F.get(seen, F.when(e > 0, e - 1).otherwise(F.lit(length - 1))).alias("last"), (e > 0).alias("ended"),
+        ))
+
+    def out(x: Column) -> Column:
+        tokens, last = x["tokens"], x["last"]
         scores = F.transform(tokens, lambda t: t["p"])
         margins = F.transform(tokens, lambda t: t["margin"])
-        nll = F.aggregate(scores, F.lit(0.0), lambda a, p: a - F.log(p))
-        final = F.when(e > 0, -F.log(last["p"])).otherwise(-F.log(F.greatest(F.lit(FLOOR), last["eos"])))
+        nll = F.aggregate(tokens, F.lit(0.0), lambda a, t: a - F.log(t["p"]))
+        final = F.when(x["ended"], -F.log(last["p"])).otherwise(-F.log(F.greatest(F.lit(FLOOR), last["eos"])))
         n = F.size(tokens)
         return F.struct(
             F.array_join(F.transform(tokens, lambda t: F.coalesce(F.get(charset, t["best"] - 1), F.lit(""))), "").alias("text"),
@@ -53,11 +53,10 @@ def _finish(seen: Column, ends: Column, length: int, charset: Column) -> Column:
             F.when(n > 0, F.array_min(scores)).otherwise(last["eos"]).alias("minimum_token_score"),
             F.when(n > 0, F.aggregate(margins, F.lit(0.0), lambda a, m: a + m) / n).otherwise(F.lit(0.0)).alias("mean_token_margin"),
             last["eos"].alias("eos_score"),
-            (e > 0).alias("ended_with_eos"),
+            x["ended"].alias("ended_with_eos"),
         )
 
-    bound = F.array(F.struct(seen.alias("s"), ends.alias("e")))
-    return F.get(F.transform(bound, lambda b: out(b["s"], b["e"])), F.lit(0))
+    return let(let(F.transform(spots, read), cut), out)
 
 
 def low_confidence(c: Column, b: Column, profile: str) -> Column:
