@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import classify, packing, rules, secrets, simhash
+from quire.llm import classify, packing, resemblance, rules, secrets
 from quire.llm.common import fresh, written
 
 #: Pages of a lower probability of being good are rejected.
@@ -32,8 +32,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies stays, that of the smallest id: five-word Jaccard similarity 0.8 or more."""
+    return resemblance.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
