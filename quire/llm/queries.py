@@ -21,6 +21,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.stupid_backoff(docs).select("doc_id", "n_tokens", "n_backoff", "score_micro")
 
 
+def lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op1_lm_scoring, whose SQL is of order 2, with trigrams and the second step back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.stupid_backoff(docs, order=3).select("doc_id", "n_tokens", "n_backoff", "score_micro")
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return telephony.store_texts(docs).select("doc_id", "stored.*")
@@ -87,6 +93,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "lm_scoring_trigrams": lm_scoring_trigrams,
     "op2_media_columns": op2_media_columns,
     "op3_secret_scans": op3_secret_scans,
     "op4_best_fit_packing": op4_best_fit_packing,
