@@ -34,7 +34,8 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "bsd-warranty": ("this software is provided by * as is and any express or implied warranties",),
     "gpl3-ref": ("licensed under the gnu general public license version 3", "under the terms of the gnu general public license version 3", "licensed under gpl 3.0", "licensed under the gplv3"),
     "gpl2-ref": ("licensed under the gnu general public license version 2", "under the terms of the gnu general public license version 2"),
-    "gpl-or-later": ("either version 3 of the license or at your option any later version", "either version 2 of the license or at your option any later version"),
+    "gpl3-or-later": ("either version 3 of the license or at your option any later version",),
+    "gpl2-or-later": ("either version 2 of the license or at your option any later version",),
     "gpl-free": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",),
     "lgpl-ref": ("licensed under the gnu lesser general public license", "under the terms of the gnu lesser general public license"),
     "agpl3-ref": ("licensed under the gnu affero general public license version 3", "under the terms of the gnu affero general public license version 3"),
@@ -55,7 +56,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-or-later")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl3-or-later")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl2-or-later")),
     ("Apache-2.0", ("apache2-ref", "apache2-use")),
     ("Apache-2.0", ("apache2-ref",)),
     ("MIT", ("mit-ref",)),
@@ -76,7 +78,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
-SENTENCE_END = re.compile(r"(?<=\.)\s+|\n[^\S\n]*\n")
+SENTENCE_END = re.compile(r"(?<=\.)(?!(?<=\b[Vv]\.)[^\S\n]*\n?[^\w\n]*[0-9])\s+|\n[^\S\n]*\n")
 #: A text without any of these (case folded) holds no known sentence. Single words, as line ends and marks may part any two.
 HINT = r"(?i)licen[sc]e|permi(?:tted|ssion)|copyright|warrant|redistribut|domain|reserved|endorse|cc0|gpl"
 _GAP = 8
@@ -110,7 +112,7 @@ def _match(words: list[str], at: int, parts: list[frozenset[str] | None], k: int
 
 
 def sentences(text: str) -> Iterator[tuple[int, str]]:
-    """(start, sentence): cut after a full stop with white space, and at empty lines; other line ends only wrap."""
+    """(start, sentence): cut after a full stop with white space (not "v." before a number), and at empty lines; other line ends only wrap."""
     at = 0
     for m in SENTENCE_END.finditer(text):
         yield at, text[at : m.start()]

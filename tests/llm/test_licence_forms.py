@@ -14,3 +14,23 @@ def test_wrapped_forms_are_found_by_the_scan(spark, between):
     rows = sorted(licences.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect())
     for r, text in zip(rows, texts, strict=True):
         assert [s["name"] for s in r["licences"]["sentences"]] == [n for n, _, _ in licences.known_sentences(text)] != []
+
+
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public{0}License, v.{0}2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+GPL = (
+    "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+    "the Free Software Foundation; either version {0} of the License, or\n(at your option) any later version.\n"
+)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [(MPL.format(" "), "MPL-2.0"), (MPL.format("\n"), "MPL-2.0"), (MPL.format("\n * "), "MPL-2.0"), (GPL.format(2), "GPL-2.0-or-later"), (GPL.format(3), "GPL-3.0-or-later")],
+)
+def test_standard_headers(text, want):
+    assert [n for n, _, _ in licences.apply_rules(licences.known_sentences(text))[0]] == [want]
+
+
+def test_v_ends_a_sentence_before_other_words():
+    assert len(list(licences.sentences("As in part v. Other words. More"))) == 3
+    assert len(list(licences.sentences("Licence, v.\n\n2 is next"))) == 2
