@@ -75,3 +75,32 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("page").alias("source"), F.when(i % 2 == 0, "original").otherwise("padded").alias("preprocessing"),
         (F.lit(10) + n % 300).cast("double").alias("width"), (F.lit(5) + i % 40).cast("double").alias("height"),
     )
+
+
+# The same shapes over all documents and whole texts; no SQL, as DuckDB's levenshtein counts bytes.
+
+
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their whole texts: doc_id, t, n_chars; a null text counts as empty."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), "n_chars")
+
+
+def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text with the next one of its block of 100 ids: doc_id, a, b."""
+    order = Window.partitionBy(F.floor(F.col("doc_id") / 100)).orderBy("doc_id")
+    return whole_documents(spark, sf_dir).select("doc_id", F.col("t").alias("a"), F.lead("t").over(order).alias("b")).where("b is not null")
+
+
+def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three competing readings of every whole line of every document, with scores from their lengths."""
+    lines = whole_documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("t", "\n")).alias("line_idx", "line"))
+    readings = F.array("line", F.translate("line", "eéио", "cèнe"), F.concat("line", F.lit("~")))
+    rows = lines.select("doc_id", F.col("line_idx").cast("long").alias("line_idx"), F.posexplode(readings).alias("ord", "text"))
+    n, i = F.length("text") + F.col("doc_id"), F.col("ord")
+    return rows.select(
+        "doc_id", "line_idx", "ord", "text",
+        ((n % 89) / F.lit(89.0)).alias("recognition_score"), ((n % 47) / F.lit(47.0)).alias("minimum_token_score"), ((n % 31) / F.lit(10.0)).alias("mean_token_margin"),
+        F.when(n % 5 != 0, (n % 23) / F.lit(23.0)).alias("eos_score"), (n % 4 != 0).alias("ended_with_eos"),
+        F.lit("page").alias("source"), F.when(i % 2 == 0, "original").otherwise("padded").alias("preprocessing"),
+        (F.lit(10) + n % 300).cast("double").alias("width"), (F.lit(5) + i * 7).cast("double").alias("height"),
+    )

@@ -458,3 +458,63 @@ def page_recognition(spark, d):
     boxes = views.detections(spark, d).withColumns({"image_width": F.lit(440.0), "image_height": F.lit(700.0)})
     lines = pages.recognise(boxes, make_scorer, Options.of(profile="balanced"))
     return done(lines.select("page_id", "det_idx", "text", "recognition_score", "reason", "uncertain", "n_alternatives", "reading_order"))
+
+
+# --- all documents and whole texts or lines, without SQL ---
+
+LINE = ("doc_id", "line_idx")
+
+
+@query
+def edit_distance_whole(spark, d):
+    return done(views.whole_pairs(spark, d).select("doc_id", text.edit_distance(F.col("a"), F.col("b")).alias("distance")))
+
+
+@query
+def edit_distance_norm_whole(spark, d):
+    return done(views.whole_pairs(spark, d).select("doc_id", text.normalized_distance(F.col("a"), F.col("b")).alias("distance")))
+
+
+@query
+def cer_whole(spark, d):
+    return done(views.whole_pairs(spark, d).select("doc_id", text.cer(F.col("a"), F.col("b")).alias("cer")))
+
+
+@query
+def segment_merge_whole(spark, d):
+    third = F.floor(F.length("t") / 3).cast("int")
+    pieces = F.array(F.substring(F.col("t"), F.lit(1), third + 5), F.substring(F.col("t"), third + 1, third + 5), F.substring(F.col("t"), 2 * third + 1, F.length("t")))
+    return done(views.whole_documents(spark, d).select("doc_id", text.merge_pieces(pieces).alias("merged")))
+
+
+@query
+def cache_key_hash_whole(spark, d):
+    return views.whole_documents(spark, d).select("doc_id", text.fnv1a(F.col("t")).alias("hash"))
+
+
+@query
+def low_confidence_lines(spark, d):
+    c = views.line_candidates(spark, d)
+    return done(c.select(*LINE, "ord", recognise.low_confidence(recognise.candidate(c), g.make_box(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height")), "balanced").alias("low")))
+
+
+@query
+def candidate_utility_lines(spark, d):
+    c = views.line_candidates(spark, d)
+    return done(c.select(*LINE, "ord", recognise.utility(recognise.candidate(c)).alias("utility")))
+
+
+@query
+def candidate_top_score_lines(spark, d):
+    return done(recognise.top_score(views.line_candidates(spark, d), *LINE).select(*LINE, "selected.ord", "selected.text"))
+
+
+@query
+def candidate_consensus_lines(spark, d):
+    chosen = recognise.select_candidates(views.line_candidates(spark, d), *LINE)
+    return done(chosen.select(*LINE, "selected.ord", "selected.text", F.size("alternatives").alias("n_alternatives"), "uncertain", "reason"))
+
+
+@query
+def strategy_compare_lines(spark, d):
+    return done(recognise.compare_strategies(views.line_candidates(spark, d), *LINE))
