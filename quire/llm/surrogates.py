@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import fresh, text_of, written
+from .common import discard, fresh, text_of, written
 
 # Titles by gender, and common first names by gender, in the scripts that are told apart.
 TITLES = {
@@ -130,14 +130,19 @@ def canonical(kind: str, said: str) -> str:
     return said.lower()
 
 
+#: After so many attempts the format of an e-mail name or surname grows by two letters, and again after as many.
+LONGER = 8
+_LETTERS = {"latin": "an", "cyrillic": "ан", "greek": "αν"}
+
+
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     """The canonical form of the surrogate of a canonical entity."""
-    tweak = f"{kind}|{attempt}"
+    tweak, longer = f"{kind}|{attempt}", attempt // LONGER
     if kind == "email":
         local, _, host = entity.rpartition("@")
         labels = host.split(".")
         # the top-level label stays; equal hosts stay equal
-        return reformat(local, key, f"{tweak}|{host}") + "@" + ".".join([*(reformat(x, key, "host") for x in labels[:-1]), labels[-1]])
+        return reformat(local + "an" * longer, key, f"{tweak}|{host}") + "@" + ".".join([*(reformat(x, key, "host") for x in labels[:-1]), labels[-1]])
     if kind == "card":
         body = reformat(entity[:-1], key, tweak)
         return body + str((luhn(body) + int(entity[-1]) - luhn(entity[:-1])) % 10)
@@ -151,7 +156,7 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         pool = [n.lower() for n in FIRST_NAMES[script, gender]] if gender != "n" else []
         new = pool[permute(pool.index(first), len(pool), key, f"first|{script}|{gender}|{attempt}")] if first in pool else reformat(first, key, f"first|{attempt}")
         # a surname's surrogate does not depend on the first name, so short and full mentions agree
-        return f"{gender}|{new}|{reformat(last, key, f'last|{attempt}')}"
+        return f"{gender}|{new}|{reformat(last + _LETTERS[script] * longer, key, f'last|{attempt}')}"
     return reformat(entity, key, tweak)
 
 
@@ -202,29 +207,36 @@ def _finder(key: bytes):
     return find
 
 
-def attempts(known: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
+def attempts(known: DataFrame, key: bytes, rounds: int = 200) -> DataFrame:
     """Entities whose first surrogate is in conflict, with the number of the attempt that is not: kind, entity, attempt.
 
     ``known``: distinct kind, entity, surrogate. A surrogate is in conflict if it is an entity of the corpus, or if
-    another entity has it; then all but the least entity give way. Formats with fewer strings than entities can run out
-    of surrogates: after ``rounds`` the rest keeps its last attempt, which is still the same for all mentions.
+    another entity has it; then all but the least entity give way. All names of one surname move together, so short and
+    full mentions agree. Small formats grow (see ``LONGER``), so they do not run out; ``rounds`` only guards against an
+    endless loop (cards, addresses and numbers keep their length) and raises.
     """
 
     @arrow_udf(T.StringType())
     def again(kind: pa.Array, entity: pa.Array, attempt: pa.Array) -> pa.Array:
         return pa.array([surrogate(k, e, key, a) for k, e, a in zip(kind.to_pylist(), entity.to_pylist(), attempt.to_pylist(), strict=True)], pa.string())
 
-    state = known.withColumn("attempt", F.lit(0))
+    group = F.when(F.col("kind") == "name", F.substring_index("entity", "|", -1)).otherwise(F.col("entity"))
+    state, before = known.withColumn("attempt", F.lit(0)), None
+    taken = known.select("kind", F.col("entity").alias("surrogate")).withColumn("real", F.lit(True))
     for _ in range(rounds):
-        taken = known.select("kind", F.col("entity").alias("surrogate")).withColumn("real", F.lit(True))
         least = state.groupBy("kind", "surrogate").agg(F.min("entity").alias("owner"))
         judged = state.join(taken, ["kind", "surrogate"], "left").join(least, ["kind", "surrogate"])
         bad = F.col("real").isNotNull() | (F.col("owner") != F.col("entity"))
-        judged = written(judged.select("kind", "entity", "surrogate", "attempt", bad.alias("bad")), "judged")
+        judged = written(judged.select("kind", "entity", "surrogate", "attempt", bad.alias("bad"), group.alias("group")), "judged")
+        if before is not None:
+            discard(before)
+        before = judged
         if judged.where("bad").isEmpty():
-            break
-        state = judged.select("kind", "entity", F.when(F.col("bad"), again("kind", "entity", F.col("attempt") + 1)).otherwise(F.col("surrogate")).alias("surrogate"), (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
-    return judged.where("attempt > 0").select("kind", "entity", "attempt")
+            return judged.where("attempt > 0").select("kind", "entity", "attempt")
+        moving = judged.where("bad").select("kind", "group").distinct().withColumn("moves", F.lit(True))
+        step = F.col("moves").isNotNull()
+        state = judged.join(moving, ["kind", "group"], "left").select("kind", "entity", F.when(step, again("kind", "entity", F.col("attempt") + 1)).otherwise(F.col("surrogate")).alias("surrogate"), (F.col("attempt") + step.cast("int")).alias("attempt"))
+    raise RuntimeError(f"surrogates still in conflict after {rounds} rounds")
 
 
 def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
