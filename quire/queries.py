@@ -518,3 +518,24 @@ def candidate_consensus_lines(spark, d):
 @query
 def strategy_compare_lines(spark, d):
     return done(recognise.compare_strategies(views.line_candidates(spark, d), *LINE))
+
+
+# --- all boxes, without SQL; reading_order has them already ---
+
+
+@query
+def layout_blocks_whole(spark, d):
+    return done(order.layout_blocks(views.detections(spark, d)).select("page_id", "det_idx", "block"))
+
+
+@query
+def tiles_topk_whole(spark, d):
+    width = F.when(F.col("page_id") % 2 == 0, 420.0).otherwise(900.0)
+    return done(tiles.adaptive_tiles(views.detections(spark, d).withColumns({"page_width": width, "page_height": F.lit(640.0)}), "balanced"))
+
+
+@query
+def paper_score_whole(spark, d):
+    boxes = views.detections(spark, d)
+    paper = views.truths(boxes).select("page_id", "x", "y", (F.col("width") * 3).alias("width"), (F.col("height") * 3).alias("height"), (F.col("page_id") % 5 / 4.0).alias("confidence"))
+    return done(detect.paper_score(boxes, paper).select("page_id", "det_idx", "paper_score"))
