@@ -20,33 +20,59 @@ ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
-#: Tokens that the models may judge; shorter ones carry too little evidence.
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+#: Tokens that the models may judge, if they hold a letter; shorter ones carry too little evidence. Of random strings of 12
+#: to 19 characters over five alphabets, 96 % or more pass the thresholds below.
+TOKEN = "[A-Za-z0-9+/_=-]{12,}"
 #: Symbols of the models: each pair of the 128 ASCII codes is a cell.
 CODES = 128
 #: Texts whose words are ordinary samples, at most; the models do not grow with the corpus.
 FIT_ROWS = 2_000
-#: A token is a secret from this ratio per pair and this total, in thousandths of a nat.
+#: A token is a secret from this ratio per pair and this total, in thousandths of a nat; the total outweighs odds of a
+#: million ordinary tokens to one secret.
 PER_PAIR, TOTAL = 600, 14_000
+MATCH = "struct<start:int,end:int,said:string>"
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(items: Column, zero: Column, step, out, kind: str, chunk: int = 256) -> Column:
+    """``out(state, item)`` for each item of an array, where ``step(state, item)`` is the state of the next one.
+
+    Results are appended within chunks, and chunks are joined once, so the work grows with the number of items and not
+    with its square. ``kind`` is the SQL type of a result.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(state: Column, part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(state.alias("state"), none.alias("out")),
+            lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(out(acc["state"], x))).alias("out")),
+        )
+
+    def whole(all_: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), ((F.size(all_) - 1) / chunk).cast("int")), lambda j: F.slice(all_, j * chunk + 1, F.lit(chunk)))
+        done = F.aggregate(parts, F.array(F.struct(zero.alias("state"), none.alias("out"))), lambda acc, part: F.concat(acc, F.array(one(F.element_at(acc, -1)["state"], part))))
+        return F.flatten(F.transform(done, lambda x: x["out"]))
+
+    return bound(items, lambda all_: F.when(F.size(all_) > 0, whole(all_)).otherwise(none))
 
 
 def found(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches of a pattern: array of (start, end, said), end exclusive, in code points."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # before match i lie the gaps 0..i and the matches 0..i-1
-    return F.when(
-        F.size(hits) > 0,
-        F.aggregate(
-            F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("said"), g.alias("gap"))),
-            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,said:string>>)").alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + x["gap"] + F.length(x["said"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["said"])).alias("end"), x["said"].alias("said")))).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        ),
-    ).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,said:string>>)"))
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def places(both: Column) -> Column:
+        # before match i lie the gaps 0..i and the matches 0..i-1
+        items = F.zip_with(both["hits"], F.slice(both["gaps"], F.lit(1), F.size(both["hits"])), lambda h, g: F.struct(h.alias("said"), F.length(g).alias("gap"), F.length(h).alias("long")))
+        here = lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["long"]).alias("end"), x["said"].alias("said"))
+        return running(items, F.lit(0), lambda at, x: at + x["gap"] + x["long"], here, MATCH)
+
+    # most texts have no match; only the others are split
+    return bound(hits, lambda h: F.when(F.size(h) > 0, bound(F.struct(h.alias("hits"), gaps.alias("gaps")), places)).otherwise(F.expr(f"cast(array() as array<{MATCH}>)")))
 
 
 def base_spans(text: Column) -> Column:
@@ -127,38 +153,65 @@ def log_ratio(token: Column, table: list[int]) -> Column:
     )
 
 
+def untouched(base: Column, tokens: Column) -> Column:
+    """The tokens (start, end, said) that no span of ``base`` (start, kind, end, said) overlaps.
+
+    Both are merged by start: a token is free if all spans before it end by its start, and the next begins at its end
+    or later.
+    """
+    last = F.lit(2**31 - 1)
+
+    def free(events: Column) -> Column:
+        before = running(events, F.lit(0), lambda at, x: F.when(x["kind"] < 3, F.greatest(at, x["end"])).otherwise(at), lambda at, x: at, "int")
+        after = F.reverse(running(F.reverse(events), last, lambda at, x: F.when(x["kind"] < 3, F.least(at, x["start"])).otherwise(at), lambda at, x: at, "int"))
+        room = F.zip_with(before, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        judged = F.zip_with(events, room, lambda e, r: F.struct(e.alias("e"), ((e["kind"] == 3) & (r["a"] <= e["start"]) & (r["b"] >= e["end"])).alias("free")))
+        return F.transform(F.filter(judged, lambda x: x["free"]), lambda x: F.struct(x["e"]["start"].alias("start"), x["e"]["end"].alias("end"), x["e"]["said"].alias("said")))
+
+    return F.when(F.size(base) == 0, tokens).otherwise(bound(F.array_sort(F.concat(base, of_kind(tokens, 3))), free))
+
+
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", table: list[int] | None = None) -> DataFrame:
     """All columns of ``docs`` and a struct ``secrets`` (another name if taken): ``base`` and ``spans``.
 
     ``base`` holds the spans of the rules, ``spans`` those and the tokens that the models call random and that no rule
-    touches; each span is (start, kind, end, said), by start, then kind as in ``KINDS``. Null texts count as empty and have
-    no spans; rows repeat as in ``docs``; an empty table gives an empty table. ``table``: ratios trained before.
+    touches (numbers without a letter are not judged); each span is (start, kind, end, said), by start, then kind as in
+    ``KINDS``. Null texts count as empty and have
+    no spans; rows repeat as in ``docs``; an empty table gives an empty table. Time grows with the length of a text and
+    its number of matches, not with the square. ``table``: ratios trained before.
     """
     table = train(docs, text, doc_id) if table is None else table
     t, base, tokens, out = fresh(docs, "t", "base", "tokens", "secrets")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    few = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,said:string>>)")
-    free = F.filter(F.col(tokens), lambda x: ~F.exists(F.col(base), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     pairs = lambda x: F.length(x["said"]) - 1
-    judged = F.filter(F.transform(free, lambda x: F.struct(x.alias("x"), log_ratio(x["said"], table).alias("r"))), lambda y: (y["r"] >= TOTAL) & (y["r"] >= PER_PAIR * pairs(y["x"])))
+    judged = F.filter(F.transform(untouched(F.col(base), F.col(tokens)), lambda x: F.struct(x.alias("x"), log_ratio(x["said"], table).alias("r"))), lambda y: (y["r"] >= TOTAL) & (y["r"] >= PER_PAIR * pairs(y["x"])) & y["x"]["said"].rlike("[A-Za-z]"))
     more = of_kind(F.transform(judged, lambda y: y["x"]), 3)
     return (
         docs.withColumn(t, text_of(text))
         .withColumn(base, base_spans(F.col(t)))
         .withColumn(tokens, found(F.col(t), TOKEN))
-        .select(*names, F.struct(F.col(base).alias("base"), F.when(F.size(tokens) > 0, F.array_sort(F.concat(F.col(base), more))).otherwise(F.coalesce(F.col(base), few)).alias("spans")).alias(out))
+        .select(*names, F.struct(F.col(base).alias("base"), F.when(F.size(tokens) > 0, F.array_sort(F.concat(F.col(base), more))).otherwise(F.col(base)).alias("spans")).alias(out))
     )
 
 
+#: Code points of a block of a text; a part of a text is cut from the blocks that hold it.
+BLOCK = 1024
+
+
 def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every run of overlapping spans replaced by a mark."""
-    merged = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, merged).otherwise(text)
+    """The text with every run of overlapping spans replaced by a mark. A null text without spans stays null.
+
+    The parts between the marks are cut from blocks of the text and joined once, so time grows with the length.
+    """
+
+    def part(blocks: Column, a: Column, b: Column) -> Column:
+        first, last = (a / BLOCK).cast("int"), ((b - 1) / BLOCK).cast("int")
+        return F.when(b > a, F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), a - first * BLOCK + 1, b - a)).otherwise("")
+
+    def cut(both: Column) -> Column:
+        blocks, own = both["blocks"], both["spans"]
+        kept = running(own, F.lit(0), lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.when(s["start"] < at, "").otherwise(F.concat(part(blocks, at, s["start"]), F.lit(mark))), "string")
+        return F.concat(F.array_join(kept, ""), part(blocks, F.array_max(F.transform(own, lambda s: s["end"])), F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, bound(F.struct(blocks.alias("blocks"), spans.alias("spans")), cut)).otherwise(text)
