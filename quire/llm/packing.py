@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,13 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from .common import WORD_PATTERN, text_of, written
+from .common import WORD_PATTERN, fresh, text_of, written
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
-#: Pieces of one length that one task ranks, about.
-SLICE_ROWS = 1_000
+#: Rows of one length that are ranked together, about; of a length with many rows, as many as there are such slices.
+SLICE_ROWS = 250
+#: Copies of a row that are dealt together.
+COPY_ROWS = 256
 
 
 def linear_cost(capacity: int, overhead: int = 64, quadratic: float = 1 / 16384) -> float:
@@ -140,37 +143,48 @@ def word_length(text: str = "text") -> Column:
 
 
 def pack(docs: DataFrame, length: Column, keep: tuple[str, ...] = ("doc_id",), capacities: tuple[int, ...] = CAPACITIES, cost=linear_cost) -> DataFrame:
-    """One row per piece: the columns ``keep``, ``piece``, ``piece_start``, ``piece_length``, ``bin_id``, ``bin_offset``,
-    ``bin_used``, ``bin_capacity``.
+    """One row per piece: the columns ``keep``, then ``piece``, ``piece_start``, ``piece_length``, ``bin_id``,
+    ``bin_offset``, ``bin_used``, ``bin_capacity`` (new names where ``keep`` has these, compared without case).
 
     A document longer than the largest capacity is cut into pieces of that capacity and a rest. Null lengths count as 0;
-    documents of length 0 or less have no piece and no row. Repeated rows are packed each. Equal pieces are dealt in the
+    documents of length 0 or less have no piece and no row. Repeated rows are packed each; they are counted before they
+    are dealt, and dealt in runs of ``COPY_ROWS``, so that they do not meet in one task. Equal pieces are dealt in the
     order of the row's hash, so the result does not depend on partitioning; it is the same for the same rows. An empty
     table gives an empty table.
     """
     largest = max(capacities)
-    n, row = F.col("_length"), F.col("_row")
-    sized = docs.select(*[F.col(c) for c in keep], F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("_length"))
-    sized = sized.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c in keep], n)).where(n > 0)
+    names = list(keep) + fresh(docs.select(*[F.col(f"`{c}`") for c in keep]), "piece", "piece_start", "piece_length", *PLACED.names)
+    own = [f"k{i}" for i in range(len(keep))]  # inside, no name of the caller is used
+    n, row = F.col("words"), F.col("row")
+    sized = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, own, strict=True)], F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("words"))
+    counted = sized.where(n > 0).groupBy(*own, "words").agg(F.count("*").alias("copies"))
+    told = [x for k in own for x in (F.col(k).isNull(), F.col(k).cast("string"))]
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPY_ROWS))))
+    runs = runs.withColumn("copies", F.least(F.col("copies") - F.col("run") * COPY_ROWS, F.lit(COPY_ROWS).cast("long"))).withColumn("row", F.xxhash64(*told, n, F.col("run")))
     cuts = F.sequence(F.lit(0), F.floor((n - 1) / largest)).cast("array<int>")
     pieces = (
-        sized.withColumn("piece", F.explode(cuts))
+        runs.withColumn("piece", F.explode(cuts))
         .withColumn("piece_start", F.col("piece") * F.lit(largest).cast("long"))
         .withColumn("piece_length", F.least(n - F.col("piece_start"), F.lit(largest)).cast("int"))
-        .drop("_length")
+        .drop("words")
     )
     pieces = written(pieces, "pieces")
-    counts = {r["piece_length"]: r["n"] for r in pieces.groupBy("piece_length").agg(F.count("*").alias("n")).collect()}
+    tally = pieces.groupBy("piece_length").agg(F.sum("copies").alias("n"), F.count("*").alias("rows")).collect()
+    counts = {r["piece_length"]: r["n"] for r in tally}
     places = split_at_bins(best_fit(counts, capacities, cost), capacities)
     # rank within a length: slices by row hash, numbered within each slice, offset by the slices before
-    widths = F.split(F.lit(",".join(str(-(-counts.get(s, 0) // SLICE_ROWS)) for s in range(largest + 1))), ",").cast("array<int>")
+    width = {r["piece_length"]: int(r["rows"] / max(SLICE_ROWS, isqrt(r["rows"]))) + 1 for r in tally}
+    widths = F.split(F.lit(",".join(str(width.get(s, 1)) for s in range(largest + 1))), ",").cast("array<int>")
     share = (row / F.lit(float(1 << 63)) + 1) / 2
-    cut = pieces.withColumn("_slice", F.floor(share * F.get(widths, F.col("piece_length"))).cast("int"))
-    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy("piece_length", "_slice").orderBy("_row", "piece", *keep)) - 1)
-    sizes = cut.groupBy("piece_length", "_slice").agg(F.count("*").alias("_n"))
-    before = sizes.select("piece_length", "_slice", (F.sum("_n").over(Window.partitionBy("piece_length").orderBy("_slice")) - F.col("_n")).alias("_before"))
-    ranked = local.join(before, ["piece_length", "_slice"]).withColumn("_rank", F.col("_before") + F.col("_local"))
-    return ranked.withColumn("_at", placed(places)(F.col("piece_length"), F.col("_rank"))).select(*keep, "piece", "piece_start", "piece_length", "_at.*")
+    cut = pieces.withColumn("slice", F.floor(share * F.get(widths, F.col("piece_length"))).cast("int"))
+    copies = F.col("copies")
+    inside = Window.partitionBy("piece_length", "slice").orderBy("row", "run", "piece", *own)
+    local = cut.withColumn("local", F.sum(copies).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - copies)
+    sizes = cut.groupBy("piece_length", "slice").agg(F.sum("copies").alias("n"))
+    before = sizes.select("piece_length", "slice", (F.sum("n").over(Window.partitionBy("piece_length").orderBy("slice")) - F.col("n")).alias("before"))
+    ranked = local.join(before, ["piece_length", "slice"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    ranked = ranked.withColumn("rank", F.col("before") + F.col("local") + F.col("copy"))
+    return ranked.withColumn("at", placed(places)(F.col("piece_length"), F.col("rank"))).select(*own, "piece", "piece_start", "piece_length", "at.*").toDF(*names)
 
 
 PLACED = T.StructType([T.StructField("bin_id", T.LongType()), T.StructField("bin_offset", T.LongType()), T.StructField("bin_used", T.IntegerType()), T.StructField("bin_capacity", T.IntegerType())])
