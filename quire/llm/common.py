@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,14 +42,34 @@ _own: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``, read from the session.
 
-    Where it is unset (tests in one process) a temporary folder is made once.
+    Where it is unset, a temporary folder is made once if all runs in one process (``local`` master); on a cluster, whose
+    machines do not share such a folder, that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = _own["dir"] = f"file://{tempfile.mkdtemp(prefix='quire-scratch-')}"
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _own:
+            _own["dir"] = f"file://{tempfile.mkdtemp(prefix='quire-scratch-')}"
+        root = _own["dir"]
     return root.rstrip("/")
 
 
+#: Rows of keys that may be broadcast, each of a few dozen bytes; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def chosen(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join with a written table of keys, which is broadcast if it is small enough; then ``df`` is not shuffled."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
+
+
+def row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a whole row, which tell nulls in different columns apart."""
+    parts = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit("second"), *parts)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the table read back.
 

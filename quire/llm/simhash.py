@@ -55,7 +55,11 @@ def fingerprint_bytes(text: bytes, shingle: int = 4) -> int:
         return digest(joined, 42)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[: -shingle] + 1)).tolist()
-    hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+    return majority([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)])
+
+
+def majority(hashes) -> int:
+    """The bits that over half of some 64-bit values have; zero of none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], dtype=">u8")
