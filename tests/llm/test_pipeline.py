@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from quire.llm import rules, simhash
-from test_operators import brute_base, brute_components, brute_counts, brute_print, words_of
+from test_operators import brute_base, brute_counts, words_of
+from test_resemblance import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,8 +39,7 @@ def test_stages(spark):
     good = sorted(good)
     unique = stages[names[2]](spark, spark.createDataFrame(good, docs.schema), SF)
     kept = {r["doc_id"] for r in unique.collect()}
-    roots = brute_components([brute_print(r["text"]) for r in good], 4)
-    assert unique.columns == docs.columns and kept == {good[c]["doc_id"] for c in roots}
+    assert unique.columns == docs.columns and kept == brute_kept([(r["doc_id"], r["text"]) for r in good])
 
     masked = stages[names[3]](spark, unique, SF)
     assert masked.columns == docs.columns
