@@ -1,17 +1,22 @@
 """Replace personal data by keyed surrogates of the same type, format, script and gender.
 
+Names are found by titles, by common first names, and by phrases that introduce one ("my name is", "Dear", "Regards,").
 Every entity has a canonical form (digits of a number, lower-case address, name parts), so mentions that differ only in
 writing get the same surrogate, within a document and across the corpus. Surrogates come from keyed permutations of all
 strings of the same format, so different entities of one format stay different by construction. What a permutation
 cannot rule out, that a surrogate is itself an entity of the corpus or that of another format, is checked over all
 entities: those in conflict are permuted anew with another tweak until none is left.
+
+Tables at rest hold entities and surrogates sealed with the key (:func:`seal`), never as plain text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,32 +34,55 @@ TITLES = {
     "n": ("Dr", "Prof", "Mx"),
 }
 FIRST_NAMES = {
-    ("latin", "f"): ("Alice", "Anna", "Clara", "Diana", "Elena", "Emma", "Grace", "Helen", "Irene", "Julia", "Laura", "Maria", "Nora", "Olivia", "Paula", "Sarah"),
-    ("latin", "m"): ("Adam", "Albert", "Bruno", "Carl", "David", "Erik", "Frank", "George", "Henry", "James", "John", "Martin", "Oscar", "Paul", "Robert", "Thomas"),
+    ("latin", "f"): ("Alice", "Amy", "Anna", "Barbara", "Carol", "Clara", "Diana", "Elena", "Emily", "Emma", "Eva", "Grace", "Hannah", "Helen", "Irene", "Jane", "Jennifer", "Jessica", "Julia", "Karen", "Laura", "Linda", "Lisa", "Lucy", "Maria", "Mary", "Nancy", "Nora", "Olivia", "Patricia", "Paula", "Rachel", "Ruth", "Sandra", "Sarah", "Sofia", "Susan"),
+    ("latin", "m"): ("Adam", "Albert", "Andrew", "Anthony", "Bruno", "Carl", "Charles", "Daniel", "David", "Edward", "Eric", "Erik", "Frank", "George", "Henry", "James", "John", "Joseph", "Kevin", "Luca", "Mark", "Martin", "Matthew", "Michael", "Oscar", "Patrick", "Paul", "Peter", "Richard", "Robert", "Samuel", "Simon", "Stephen", "Thomas", "Walter", "William"),
     ("cyrillic", "f"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"),
     ("cyrillic", "m"): ("Алексей", "Борис", "Виктор", "Дмитрий", "Иван", "Николай", "Павел", "Сергей"),
     ("greek", "f"): ("Άννα", "Ελένη", "Ειρήνη", "Μαρία", "Σοφία", "Χριστίνα"),
     ("greek", "m"): ("Ανδρέας", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"),
 }
-#: Letter classes: a letter is replaced by one of its own class.
-CLASSES = ("aeiouy", "bcdfghjklmnpqrstvwxz", "0123456789", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "áéíóúàèìòùâêîôûäëïöü")
-_CLASS = {c: k for k, chars in enumerate(CLASSES) for c in chars}
+#: Letter classes: a letter is replaced by one of its own class. Other letters and digits: see :func:`class_of`.
+CLASSES = (
+    "aeiouy", "bcdfghjklmnpqrstvwxz", "0123456789", "áéíóúàèìòùâêîôûäëïöüåæøãõý", "çñðþ", "ßÿ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ъь",
+    "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ", "ϊϋΐΰ",
+)
+_CLASS = {c: chars for chars in CLASSES for c in chars}
+
+
+@cache
+def class_of(c: str) -> str:
+    """The characters that may stand for ``c``: its class, or the letters (digits) without case or in lower case of its
+    128 code points that have the same Unicode category; empty if ``c`` is neither a letter nor a digit."""
+    if c in _CLASS:
+        return _CLASS[c]
+    kind = unicodedata.category(c)
+    if kind not in ("Ll", "Lo", "Lm", "Nd"):
+        return ""
+    plain = lambda x: unicodedata.category(x) == kind and x not in _CLASS and x.lower() == x and len(x.upper()) == 1 and (x.upper().lower() == x)
+    own = "".join(filter(plain, map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1))))
+    return own if c in own and len(own) > 1 else ""
+
 
 KINDS = ("email", "card", "ip", "ssn", "phone", "name")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _ALL_TITLES = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _ALL_NAMES = "|".join(sorted((n for ns in FIRST_NAMES.values() for n in ns), key=len, reverse=True))
-_CAPITAL = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+|[Α-ΩΆΈ-Ώ][α-ωά-ώ]+)"
+_PART = r"(?:(?:Mc|Mac|[OD]['’])?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+|[Α-ΩΆΈ-Ώ][α-ωά-ώ]+)"
+_CAPITAL = rf"{_PART}(?:-{_PART})*"
+#: What introduces a name; fixed values.
+CUES = ("my name is", "name is", "name:", "Name:", "Dear", "dear", "Regards,", "regards,", "Sincerely,", "sincerely,", "signed by", "Signed by", "Attn:", "Contact:", "contact person:")
+_ALL_CUES = "|".join(sorted(map(re.escape, CUES), key=len, reverse=True))
 ENTITY = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+    r"(?P<email>(?<![\w.%+-])[\w.%+-]+@(?:[\w-]+\.)+[^\W\d_]{2,})"
     r"|(?P<card>(?<![0-9A-Za-z])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}(?![0-9A-Za-z]))"
     rf"|(?P<ip>(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\dA-Za-z])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\dA-Za-z])|(?<![\dA-Za-z])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\dA-Za-z]))"
     rf"|(?P<name>\b(?:(?:{_ALL_TITLES})\b\.?[ ]{_CAPITAL}(?:[ ]{_CAPITAL})?|(?:{_ALL_NAMES})[ ]{_CAPITAL}))"
+    rf"|\b(?:{_ALL_CUES})\s(?P<cued>(?:(?:{_ALL_TITLES})\b\.?[ ])?{_CAPITAL}[ ]{_CAPITAL})"
 )
 #: A text without any of these holds no entity.
-HINT = rf"[0-9@]|{_ALL_TITLES}|{_ALL_NAMES}"
+HINT = rf"[0-9@]|{_ALL_TITLES}|{_ALL_NAMES}|{_ALL_CUES}"
 
 
 def permute(x: int, size: int, key: bytes, tweak: str) -> int:
@@ -74,24 +102,38 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
 
 
 def reformat(s: str, key: bytes, tweak: str) -> str:
-    """Permute a string among all strings of its format: the same classes of letters and digits at the same places."""
-    slots = [(i, _CLASS[c]) for i, c in enumerate(s) if c in _CLASS]
+    """Permute a string among all strings of its format: characters of the same classes at the same places."""
+    slots = [(i, own) for i, c in enumerate(s) if (own := class_of(c))]
     number, size = 0, 1
-    for i, k in slots:
-        number = number * len(CLASSES[k]) + CLASSES[k].index(s[i])
-        size *= len(CLASSES[k])
-    shape = "".join(chr(65 + _CLASS[c]) if c in _CLASS else c for c in s)
+    for i, own in slots:
+        number = number * len(own) + own.index(s[i])
+        size *= len(own)
+    shape = "".join(own[0] if (own := class_of(c)) else c for c in s)
     number = permute(number, size, key, f"{tweak}|{shape}")
     out = list(s)
-    for i, k in reversed(slots):
-        number, at = divmod(number, len(CLASSES[k]))
-        out[i] = CLASSES[k][at]
+    for i, own in reversed(slots):
+        number, at = divmod(number, len(own))
+        out[i] = own[at]
     return "".join(out)
 
 
+def seal(key: bytes, plain: str) -> bytes:
+    """Encrypt with a keyed hash, the same for equal texts: a tag of the text, and the text under the tag's stream."""
+    data = plain.encode()
+    tag = hashlib.blake2b(data, key=key, digest_size=16, person=b"quire tag").digest()
+    stream = hashlib.shake_256(hashlib.blake2b(tag, key=key, person=b"quire stream").digest()).digest(len(data))
+    return tag + bytes(a ^ b for a, b in zip(data, stream, strict=True))
+
+
+def unseal(key: bytes, sealed: bytes) -> str:
+    tag, data = sealed[:16], sealed[16:]
+    stream = hashlib.shake_256(hashlib.blake2b(tag, key=key, person=b"quire stream").digest()).digest(len(data))
+    return bytes(a ^ b for a, b in zip(data, stream, strict=True)).decode()
+
+
 def recase(s: str, like: str) -> str:
     """Give the letters of ``s`` the case of ``like``, place by place."""
-    return "".join(c.upper() if k < len(like) and like[k].isupper() else c for k, c in enumerate(s))
+    return "".join(c.upper() if k < len(like) and like[k].isupper() and len(c.upper()) == 1 else c for k, c in enumerate(s))
 
 
 def luhn(digits: str) -> int:
@@ -130,7 +172,8 @@ def canonical(kind: str, said: str) -> str:
     return said.lower()
 
 
-#: After so many attempts the format of an e-mail name or surname grows by two letters, and again after as many.
+#: After so many attempts the format of an e-mail name or surname grows by two letters, that of a number by a digit, and
+#: again after as many.
 LONGER = 8
 _LETTERS = {"latin": "an", "cyrillic": "ан", "greek": "αν"}
 
@@ -144,7 +187,7 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         # the top-level label stays; equal hosts stay equal
         return reformat(local + "an" * longer, key, f"{tweak}|{host}") + "@" + ".".join([*(reformat(x, key, "host") for x in labels[:-1]), labels[-1]])
     if kind == "card":
-        body = reformat(entity[:-1], key, tweak)
+        body = reformat(entity[:-1] + "0" * longer, key, tweak)
         return body + str((luhn(body) + int(entity[-1]) - luhn(entity[:-1])) % 10)
     if kind == "ip":
         a, b, c, d = map(int, entity.split("."))
@@ -157,15 +200,15 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
         new = pool[permute(pool.index(first), len(pool), key, f"first|{script}|{gender}|{attempt}")] if first in pool else reformat(first, key, f"first|{attempt}")
         # a surname's surrogate does not depend on the first name, so short and full mentions agree
         return f"{gender}|{new}|{reformat(last + _LETTERS[script] * longer, key, f'last|{attempt}')}"
-    return reformat(entity, key, tweak)
+    return reformat(entity + "0" * longer, key, tweak)
 
 
 def written_like(kind: str, said: str, new: str) -> str:
     """A surrogate in the writing of a mention: its separators, case, country prefix and title."""
     if kind in ("card", "ssn", "phone"):
         digits = re.sub(r"\D", "", said)
-        fill = iter(digits[: len(digits) - len(new)] + new)
-        return "".join(next(fill) if c.isdigit() else c for c in said)
+        fill = iter(digits[: max(0, len(digits) - len(new))] + new)
+        return "".join(next(fill) if c.isdigit() else c for c in said) + "".join(fill)
     if kind == "name":
         title, _, first, last = name_parts(said)
         _, new_first, new_last = new.split("|")
@@ -177,20 +220,25 @@ def written_like(kind: str, said: str, new: str) -> str:
 def entities(text: str) -> Iterator[tuple[str, int, int, str]]:
     """(kind, start, end, said) of every entity, left to right without overlap."""
     for m in ENTITY.finditer(text):
-        kind = m.lastgroup if m.lastgroup != "sep" else "card"
-        yield kind, m.start(), m.end(), m.group()
+        kind = next(k for k in (*KINDS, "cued") if m.group(k) is not None)
+        yield ("name" if kind == "cued" else kind), m.start(kind), m.end(kind), m.group(kind)
 
 
-FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("entity", T.StringType()), T.StructField("surrogate", T.StringType())]))
+FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("entity", T.BinaryType()), T.StructField("group", T.BinaryType()), T.StructField("surrogate", T.BinaryType())]))
 REPLACED = T.StructType([T.StructField("text", T.StringType()), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("spans", T.StringType())])
-#: Exceptions that may be broadcast; more are joined by shuffle.
-EXCEPTION_ROWS = 50_000
+#: Exceptions (entity and attempt) that may be broadcast; more are joined by shuffle.
+EXCEPTIONS = 200_000
 
 
 def _likely(texts: pa.Array) -> list[bool]:
     return pc.match_substring_regex(texts, HINT).to_pylist()
 
 
+def group_of(kind: str, entity: str) -> str:
+    """What moves together: all names of a surname, else the entity alone."""
+    return entity.rpartition("|")[2] if kind == "name" else entity
+
+
 def _finder(key: bytes):
     from .telephony import to_arrow
 
@@ -201,7 +249,7 @@ def _finder(key: bytes):
             out = []
             for i, likely in enumerate(_likely(texts)):
                 own = {(k, canonical(k, s)) for k, _, _, s in entities(texts[i].as_py())} if likely else ()
-                out.append([{"kind": k, "entity": e, "surrogate": surrogate(k, e, key)} for k, e in sorted(own)])
+                out.append([{"kind": k, "entity": seal(key, e), "group": seal(key, group_of(k, e)), "surrogate": seal(key, surrogate(k, e, key))} for k, e in sorted(own)])
             yield pa.array(out, kind_)
 
     return find
@@ -210,32 +258,34 @@ def _finder(key: bytes):
 def attempts(known: DataFrame, key: bytes, rounds: int = 200) -> DataFrame:
     """Entities whose first surrogate is in conflict, with the number of the attempt that is not: kind, entity, attempt.
 
-    ``known``: distinct kind, entity, surrogate. A surrogate is in conflict if it is an entity of the corpus, or if
-    another entity has it; then all but the least entity give way. All names of one surname move together, so short and
-    full mentions agree. Small formats grow (see ``LONGER``), so they do not run out; ``rounds`` only guards against an
-    endless loop (cards, addresses and numbers keep their length) and raises.
+    ``known``: distinct kind, entity, group, surrogate, sealed. A surrogate is in conflict if it is an entity of the corpus,
+    or if another entity has it; then all but the least entity give way. All names of one surname move together, so short
+    and full mentions agree. Formats grow (see ``LONGER``), so they do not run out; only addresses of four numbers
+    keep their length, and ``rounds``, which guards against an endless loop, raises should a corpus use these up.
     """
 
-    @arrow_udf(T.StringType())
+    @arrow_udf(T.BinaryType())
     def again(kind: pa.Array, entity: pa.Array, attempt: pa.Array) -> pa.Array:
-        return pa.array([surrogate(k, e, key, a) for k, e, a in zip(kind.to_pylist(), entity.to_pylist(), attempt.to_pylist(), strict=True)], pa.string())
+        rows = zip(kind.to_pylist(), entity.to_pylist(), attempt.to_pylist(), strict=True)
+        return pa.array([seal(key, surrogate(k, unseal(key, e), key, a)) for k, e, a in rows], pa.binary())
 
-    group = F.when(F.col("kind") == "name", F.substring_index("entity", "|", -1)).otherwise(F.col("entity"))
     state, before = known.withColumn("attempt", F.lit(0)), None
     taken = known.select("kind", F.col("entity").alias("surrogate")).withColumn("real", F.lit(True))
     for _ in range(rounds):
         least = state.groupBy("kind", "surrogate").agg(F.min("entity").alias("owner"))
         judged = state.join(taken, ["kind", "surrogate"], "left").join(least, ["kind", "surrogate"])
         bad = F.col("real").isNotNull() | (F.col("owner") != F.col("entity"))
-        judged = written(judged.select("kind", "entity", "surrogate", "attempt", bad.alias("bad"), group.alias("group")), "judged")
+        judged = written(judged.select("kind", "entity", "group", "surrogate", "attempt", bad.alias("bad")), "judged")
         if before is not None:
             discard(before)
         before = judged
         if judged.where("bad").isEmpty():
-            return judged.where("attempt > 0").select("kind", "entity", "attempt")
+            out = written(judged.where("attempt > 0").select("kind", "entity", "attempt"), "attempts")
+            discard(judged)
+            return out
         moving = judged.where("bad").select("kind", "group").distinct().withColumn("moves", F.lit(True))
         step = F.col("moves").isNotNull()
-        state = judged.join(moving, ["kind", "group"], "left").select("kind", "entity", F.when(step, again("kind", "entity", F.col("attempt") + 1)).otherwise(F.col("surrogate")).alias("surrogate"), (F.col("attempt") + step.cast("int")).alias("attempt"))
+        state = judged.join(moving, ["kind", "group"], "left").select("kind", "entity", "group", F.when(step, again("kind", "entity", F.col("attempt") + 1)).otherwise(F.col("surrogate")).alias("surrogate"), (F.col("attempt") + step.cast("int")).alias("attempt"))
     raise RuntimeError(f"surrogates still in conflict after {rounds} rounds")
 
 
@@ -244,22 +294,27 @@ def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     of each kind, and ``spans`` (kind:start:end in the old text, comma-joined, code points).
 
     Whole texts are read. Null texts give a null text and no entities; rows repeat as in ``docs``; an empty table gives an
-    empty table. The same key gives the same surrogates, in any order of rows and for any partitioning.
+    empty table. The same key gives the same surrogates, in any order of rows and for any
+    partitioning. Of the tables written, only the sealed exceptions stay, as the result reads them.
     """
     from .telephony import to_arrow
 
-    row, found, extra, name = fresh(docs, "row_hash", "found", "exceptions", "private")
+    key = key if len(key) <= 64 else hashlib.sha512(key).digest()
+    row, extra, name = fresh(docs, "row_hash", "exceptions", "private")
     keyed = docs.withColumn(row, F.xxhash64(text_of(text)))
     mentions = written(keyed.select(F.col(row), F.explode(_finder(key)(text_of(text))).alias("e")).select(F.col(row).alias("row"), "e.*").distinct(), "mentions")
-    known = written(mentions.select("kind", "entity", "surrogate").distinct(), "entities")
+    known = written(mentions.select("kind", "entity", "group", "surrogate").distinct(), "entities")
     moved = attempts(known, key)
     changes = mentions.join(moved, ["kind", "entity"]).groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("kind", "entity", "attempt")).alias(extra))
     changes = written(changes, "exceptions")
-    n = changes.count()
+    n = changes.agg(F.sum(F.size(extra))).first()[0] or 0
+    for t in (mentions, known, moved):
+        discard(t)
     if n:
-        keyed = keyed.join(F.broadcast(changes) if n <= EXCEPTION_ROWS else changes, row, "left")
+        keyed = keyed.join(F.broadcast(changes) if n <= EXCEPTIONS else changes, row, "left")
     else:
-        keyed = keyed.withColumn(extra, F.expr("cast(null as array<struct<kind:string,entity:string,attempt:int>>)"))
+        keyed = keyed.withColumn(extra, F.expr("cast(null as array<struct<kind:string,entity:binary,attempt:int>>)"))
+        discard(changes)
 
     @arrow_udf(REPLACED)
     def rewrite(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -271,7 +326,7 @@ def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
                 old = texts[i].as_py()
                 counts, spans, out, at = dict.fromkeys(KINDS, 0), [], [], 0
                 if likely:
-                    special = {(x["kind"], x["entity"]): x["attempt"] for x in exceptions[i].as_py() or ()}
+                    special = {(x["kind"], unseal(key, x["entity"])): x["attempt"] for x in exceptions[i].as_py() or ()}
                     for k, a, b, said in entities(old):
                         e = canonical(k, said)
                         out += [old[at:a], written_like(k, said, surrogate(k, e, key, special.get((k, e), 0)))]
