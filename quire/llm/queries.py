@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classify, licences, lm_score, packing, pieces, rules, secrets, simhash, surrogates, telephony
+from .common import text_of, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +29,9 @@ def lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return telephony.store_texts(docs).select("doc_id", "stored.*")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(text_of("text")).cast("long").alias("n_bytes"))
+    kept = written(telephony.store_texts(docs).select("doc_id", "n_bytes", "media"), "media")
+    return telephony.describe_media(kept, pcm=False).select("doc_id", "n_bytes", "stored.*")
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,25 +212,42 @@ def to_arrow(schema: T.StructType) -> pa.DataType:
     return to_arrow_type(schema)
 
 
+def store_texts(docs: DataFrame, text: str = "text", unit: int = 576) -> DataFrame:
+    """All columns of ``docs`` and ``media`` (another name if taken): the text as mu-law samples of 8 kHz in a WAVE file.
+
+    The samples are the bytes of the text, filled with bytes 255 (mu-law silence) to a positive multiple of ``unit``. Null
+    texts count as empty: one unit of fill. Equal texts give equal media; an empty table gives an empty table.
+    """
+
+    @arrow_udf(T.BinaryType())
+    def store(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            data = batch_bytes(texts)
+            yield pa.array([write_wave(MULAW, 8000, x + b"\xff" * ((-len(x) % unit) or (0 if x else unit))) for x in data], pa.binary())
+
+    (media,) = fresh(docs, "media")
+    return docs.withColumn(media, store(text_of(text)))
+
+
 STORED = T.StructType([
-    T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()),
-    T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()),
+    T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
+    T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()),
     T.StructField("feature", T.StringType()), T.StructField("pcm_samples", T.LongType()), T.StructField("pcm_crc32", T.LongType()),
 ])
+STORED_PCM = T.StructType([*STORED.fields, T.StructField("pcm", T.BinaryType())])
 
 
-def store_batch(texts: list[bytes], unit: int = 576, chunk: int = 4 << 20) -> list[dict]:
-    """Store each text as mu-law samples in a WAVE file, read it back and describe it.
+def describe_batch(media: list[bytes], unit: int = 576, chunk: int = 4 << 20, pcm_too: bool = False) -> list[dict | None]:
+    """Digests and features of mu-law WAVE files, from their samples; None for anything else.
 
-    The payload is the text filled with bytes 255 (mu-law silence) to a positive multiple of ``unit``. The features come
-    from the bytes read back: the mu-law signal, expanded and resampled to 16 kHz, the same bytes expanded as A-law, and
-    the same bytes decoded as ADPCM blocks of ``unit`` bytes, each with peak, mean square and sign changes. The ADPCM
-    blocks of many payloads are decoded at once.
+    The features are the mu-law signal, expanded and resampled to 16 kHz, the same bytes expanded as A-law, and the same
+    bytes decoded as ADPCM blocks of ``unit`` bytes, each with peak, mean square and sign changes. The ADPCM blocks of many
+    files are decoded at once.
     """
     out, held = [], []
 
     def settle() -> None:
-        joined = np.concatenate([np.frombuffer(p, np.uint8) for _, p in held])
+        joined = np.concatenate([np.frombuffer(p, np.uint8)[: len(p) // unit * unit] for _, p in held])
         decoded = decode_adpcm(joined, unit)
         at = 0
         for row, p in held:
@@ -240,20 +257,23 @@ def store_batch(texts: list[bytes], unit: int = 576, chunk: int = 4 << 20) -> li
         held.clear()
 
     size = 0
-    for data in texts:
-        fill = (-len(data) % unit) or (0 if data else unit)
-        media = write_wave(MULAW, 8000, data + b"\xff" * fill)
-        wave = read_wave(media)
-        payload = wave.data
-        codes = np.frombuffer(payload, np.uint8)
+    for blob in media:
+        wave = read_wave(blob) if blob else None
+        if wave is None or wave.tag != MULAW:
+            out.append(None)
+            continue
+        codes = np.frombuffer(wave.data, np.uint8)
         pcm = resample(samples(wave), wave.rate, 16000)
         feature = ";".join(f"{name}={','.join(map(str, measures(x)))}" for name, x in (("mulaw", pcm), ("alaw", EXPAND[ALAW][codes])))
+        flat = pcm.astype("<i2", copy=False)
         out.append({
-            "n_bytes": len(data), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]),
-            "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature, "pcm_samples": len(pcm), "pcm_crc32": zlib.crc32(pcm.astype("<i2", copy=False)),
+            "payload_bytes": len(wave.data), "payload_sha256": hashlib.sha256(wave.data).hexdigest(), "tail_crc32": zlib.crc32(wave.data[-32:]),
+            "media_bytes": len(blob), "media_sha256": hashlib.sha256(blob).hexdigest(), "feature": feature, "pcm_samples": len(pcm), "pcm_crc32": zlib.crc32(flat),
         })
-        held.append((out[-1], payload))
-        size += len(payload)
+        if pcm_too:
+            out[-1]["pcm"] = write_wave(PCM, 16000, flat.tobytes(), 2, 16)
+        held.append((out[-1], wave.data))
+        size += len(wave.data)
         if size >= chunk:
             settle()
             size = 0
@@ -262,17 +282,19 @@ def store_batch(texts: list[bytes], unit: int = 576, chunk: int = 4 << 20) -> li
     return out
 
 
-def store_texts(docs: DataFrame, text: str = "text", unit: int = 576) -> DataFrame:
-    """All columns of ``docs`` and a struct ``stored`` (another name if taken) that describes the stored form of the text.
+def describe_media(docs: DataFrame, media: str = "media", unit: int = 576, pcm: bool = True) -> DataFrame:
+    """All columns of ``docs`` and a struct ``stored`` (another name if taken): digests and features of a media column as
+    :func:`store_texts` makes it, and ``pcm``, the signal resampled to 16 kHz as a 16-bit WAVE file, unless that is not wanted.
 
-    Null texts count as empty: one unit of fill. Equal texts give equal values; an empty table gives an empty table.
+    Null or other media give a null struct; equal media give equal values; an empty table gives an empty table.
     """
+    shape = STORED_PCM if pcm else STORED
 
-    @arrow_udf(STORED)
-    def store(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = to_arrow(STORED)
-        for texts in batches:
-            yield pa.array(store_batch(batch_bytes(texts), unit), kind)
+    @arrow_udf(shape)
+    def describe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = to_arrow(shape)
+        for files in batches:
+            yield pa.array(describe_batch(files.to_pylist(), unit, pcm_too=pcm), kind)
 
     (stored,) = fresh(docs, "stored")
-    return docs.withColumn(stored, store(text_of(text)))
+    return docs.withColumn(stored, describe(F.col(media)))

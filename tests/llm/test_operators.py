@@ -136,15 +136,59 @@ def test_resampling_is_exact_in_both_forms():
     assert len(telephony.resample(pcm, 8000, 11025)) == len(pcm) * 11025 // 8000
 
 
+def brute_features(payload):
+    """Features by plain loops: expansion by the rules of G.711, and midpoints between samples."""
+
+    def mulaw(c):
+        c = ~c & 255
+        size = (((c & 15) << 3) + 132 << (c >> 4 & 7)) - 132
+        return -size if c & 128 else size
+
+    def alaw(c):
+        c ^= 0x55
+        e, m = c >> 4 & 7, c & 15
+        size = (m << 4) + 8 if e == 0 else (m << 4) + 264 << e - 1
+        return size if c & 128 else -size
+
+    def measure(x):
+        return f"{max(map(abs, x))},{sum(v * v for v in x) // len(x)},{sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}"
+
+    mu = [mulaw(c) for c in payload]
+    wide = [v for a, b in zip(mu, [*mu[1:], mu[-1]]) for v in (a, (a + b + 1) >> 1)]
+    return wide, f"mulaw={measure(wide)};alaw={measure([alaw(c) for c in payload])}"
+
+
 def test_media_columns(odd, none):
-    rows = telephony.store_texts(odd).collect()
-    assert len(rows) == len(ODD) and telephony.store_texts(none).count() == 0
+    rows = telephony.describe_media(telephony.store_texts(odd)).collect()
+    assert len(rows) == len(ODD) and telephony.describe_media(telephony.store_texts(none)).count() == 0
     for r in rows:
         data = (r["text"] or "").encode()
         payload = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
-        s = r["stored"]
-        assert (s["n_bytes"], s["payload_bytes"], s["payload_sha256"], s["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert s["feature"].split("adpcm=")[1] == ",".join(map(str, telephony.measures(telephony.decode_adpcm(payload, 576).ravel())))
+        s, media = r["stored"], bytes(r["media"])
+        assert (s["payload_bytes"], s["payload_sha256"], s["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (s["media_bytes"], s["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert media[:4] == b"RIFF" and int.from_bytes(media[4:8], "little") == len(media) - 8 and media[-len(payload) :] == payload
+        assert media[20:36] == bytes([7, 0, 1, 0]) + (8000).to_bytes(4, "little") * 2 + bytes([1, 0, 8, 0])
+        wide, feature = brute_features(payload)
+        assert s["feature"].split(";adpcm=") == [feature, ",".join(map(str, telephony.measures(telephony.decode_adpcm(payload, 576).ravel())))]
+        pcm = np.array(wide, "<i2").tobytes()
+        assert s["pcm_samples"] == len(wide) and s["pcm_crc32"] == zlib.crc32(pcm) and bytes(s["pcm"])[-len(pcm) :] == pcm
+
+
+def test_media_that_are_no_mulaw_files_have_no_features(spark):
+    rows = [(1, None), (2, b""), (3, b"junk"), (4, telephony.write_wave(telephony.ALAW, 8000, b"\xd5"))]
+    got = telephony.describe_media(spark.createDataFrame(rows, "i int, media binary")).collect()
+    assert [r["stored"] for r in got] == [None] * 4
+
+
+def test_query_of_media_columns(spark):
+    rows = queries.op2_media_columns(spark, SF).collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = texts[r["doc_id"]]
+        payload = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
 
 
 def test_decode_media(spark):
