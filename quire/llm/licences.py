@@ -48,12 +48,39 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "isc-grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
     "unlicense": ("this is free and unencumbered software released into the public domain",),
     "all-rights": ("all rights reserved",),
+    "lgpl21-ref": ("licensed under the gnu lesser general public license version 2.1", "under the terms of the gnu lesser general public license version 2.1"),
+    "lgpl3-ref": ("licensed under the gnu lesser general public license version 3", "under the terms of the gnu lesser general public license version 3"),
+    "lgpl-free": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license",),
+    "lgpl21-or-later": ("either version 2.1 of the license or at your option any later version",),
+    "gpl-verbatim": ("everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",),
+    "gpl2-head": ("gnu general public license version 2 june 1991",),
+    "gpl3-head": ("gnu general public license version 3 29 june 2007",),
+    "agpl3-head": ("gnu affero general public license version 3 19 november 2007",),
+    "lgpl21-head": ("gnu lesser general public license version 2.1 february 1999",),
+    "lgpl3-head": ("gnu lesser general public license version 3 29 june 2007",),
+    "epl2-ref": ("made available under the terms of the eclipse public license v|version 2.0", "made available under the terms of the eclipse public license 2.0", "licensed under the eclipse public license v|version 2.0"),
+    "boost-grant": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",),
+    "boost-ref": ("distributed under the boost software license version 1.0",),
+    "zlib-grant": ("permission is granted to anyone to use this software for any purpose including commercial applications",),
+    "zlib-warranty": ("this software is provided as is without any express or implied warranty",),
+    "artistic2-ref": ("licensed under the artistic license 2.0", "under the terms of the artistic license version 2.0"),
+    "isc-warranty": ("the software is provided as is and the author disclaims all warranties",),
 }
 
 # Ordered licence rules; the first rule that matches at a place in the sequence of identifiers wins.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache2-ref", "apache2-use", "apache2-copy", "apache2-warranty")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
+    ("MIT", ("mit-grant", "mit-notice")),
+    ("MIT-0", ("mit-grant", "mit-warranty")),
+    ("GPL-2.0", ("gpl2-head", "gpl-verbatim")),
+    ("GPL-3.0", ("gpl3-head", "gpl-verbatim")),
+    ("AGPL-3.0", ("agpl3-head", "gpl-verbatim")),
+    ("LGPL-2.1", ("lgpl21-head", "gpl-verbatim")),
+    ("LGPL-3.0", ("lgpl3-head", "gpl-verbatim")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl21-or-later")),
+    ("Zlib", ("zlib-warranty", "zlib-grant")),
+    ("ISC", ("isc-grant", "isc-warranty")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl3-or-later")),
@@ -63,7 +90,18 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-ref",)),
     ("MIT", ("mit-grant",)),
     ("AGPL-3.0", ("agpl3-ref",)),
+    ("LGPL-2.1", ("lgpl21-ref",)),
+    ("LGPL-3.0", ("lgpl3-ref",)),
     ("LGPL", ("lgpl-ref",)),
+    ("EPL-2.0", ("epl2-ref",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-ref",)),
+    ("Artistic-2.0", ("artistic2-ref",)),
+    ("GPL-2.0", ("gpl2-head",)),
+    ("GPL-3.0", ("gpl3-head",)),
+    ("AGPL-3.0", ("agpl3-head",)),
+    ("LGPL-2.1", ("lgpl21-head",)),
+    ("LGPL-3.0", ("lgpl3-head",)),
     ("GPL-3.0", ("gpl3-ref",)),
     ("GPL-2.0", ("gpl2-ref",)),
     ("MPL-2.0", ("mpl2-ref",)),
@@ -138,20 +176,37 @@ def known_sentences(text: str, table: dict | None = None) -> list[tuple[str, int
     return out
 
 
+#: Other known sentences that may stand between two sentences of a rule.
+BETWEEN = 3
+
+
 def apply_rules(found: list[tuple[str, int, int]]) -> tuple[list[tuple[str, int, int]], int]:
-    """Licences with their spans, in order, and the number of sentences that no rule took."""
-    out, left, i = [], 0, 0
-    names = tuple(n for n, _, _ in found)
-    while i < len(found):
-        for licence, rule in RULES:
-            if names[i : i + len(rule)] == rule:
-                out.append((licence, found[i][1], found[i + len(rule) - 1][2]))
-                i += len(rule)
-                break
-        else:
-            left += 1
-            i += 1
-    return out, left
+    """Licences with their spans, in order of their first sentence, and the number of sentences that no rule took.
+
+    At each sentence that is not taken yet, the first rule whose identifiers follow in order takes them, with up to
+    ``BETWEEN`` others between any two. Those between are left for other rules.
+    """
+    out, free = [], [True] * len(found)
+
+    def places(at: int, rule: tuple[str, ...]) -> list[int] | None:
+        own = []
+        for name in rule:
+            near = range(at, min(len(found), at + (BETWEEN if own else 0) + 1))
+            if (at := next((k for k in near if free[k] and found[k][0] == name), -1)) < 0:
+                return None
+            own.append(at)
+            at += 1
+        return own
+
+    for i in range(len(found)):
+        if free[i]:
+            for licence, rule in RULES:
+                if own := places(i, rule):
+                    out.append((licence, found[i][1], found[own[-1]][2]))
+                    for k in own:
+                        free[k] = False
+                    break
+    return out, sum(free)
 
 
 SPAN = T.StructType([T.StructField("name", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])

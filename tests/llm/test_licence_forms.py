@@ -34,3 +34,50 @@ def test_standard_headers(text, want):
 def test_v_ends_a_sentence_before_other_words():
     assert len(list(licences.sentences("As in part v. Other words. More"))) == 3
     assert len(list(licences.sentences("Licence, v.\n\n2 is next"))) == 2
+
+
+def brute_scan(text):
+    """Every form tried at every word of every sentence, longest first, without any filter; rules as written down."""
+    import re
+
+    found = []
+    for start, sentence in licences.sentences(text):
+        places = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9]+(?:\.[0-9]+)*", sentence)]
+        i = 0
+        while i < len(places):
+            best = None
+            for name, forms in licences.SENTENCES.items():
+                for form in forms:
+                    pattern = "".join(r"(?:\S+ ){0,8}?" if w == "*" else f"(?:{'|'.join(map(re.escape, w.split('|')))}) " for w in form.split())
+                    if m := re.match(pattern, "".join(w + " " for w, _, _ in places[i : i + 60])):
+                        key = (-len(form.split()), name)
+                        if best is None or key < best[0]:
+                            best = (key, name, m.group().count(" "))
+            if best:
+                found.append((best[1], start + places[i][1], start + places[i + best[2] - 1][2]))
+                i += best[2]
+            else:
+                i += 1
+    return found
+
+
+def test_scan_equals_a_search_without_a_filter(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = spark.createDataFrame([(-1, MPL.format("\n")), (-2, GPL.format(2)), (-3, None), (-4, "word " * 30_000 + "all rights\nreserved"), (-5, ". " * 3000)], "doc_id long, text string")
+    checked = 0
+    for r in licences.scan(docs.select("doc_id", "text").unionByName(extra)).collect():
+        words = (r["text"] or "").split()
+        if len(words) < 700 or r["doc_id"] < 0:
+            want = brute_scan(r["text"] or "") if r["doc_id"] != -4 else [("all-rights", len(r["text"]) - 19, len(r["text"]))]
+            assert [(s["name"], s["start"], s["end"]) for s in r["licences"]["sentences"]] == want
+            assert [(s["name"], s["start"], s["end"]) for s in r["licences"]["licences"]] == licences.apply_rules(want)[0]
+            checked += 1
+    assert checked > 50
+
+
+def test_rules_leave_other_sentences_to_others():
+    at = lambda *names: [(n, 10 * i, 10 * i + 5) for i, n in enumerate(names)]
+    assert licences.apply_rules(at("mit-grant", "all-rights", "mit-notice", "mit-warranty")) == ([("MIT", 0, 35), ("Proprietary", 10, 15)], 0)
+    assert licences.apply_rules(at("mit-grant", "mit-warranty")) == ([("MIT-0", 0, 15)], 0)
+    assert licences.apply_rules(at("apache2-copy", "gpl3-head", "gpl-verbatim")) == ([("GPL-3.0", 10, 25)], 1)
+    assert licences.apply_rules([]) == ([], 0)
