@@ -1,12 +1,17 @@
 """Stupid-backoff scores of every document under n-gram counts of the whole corpus.
 
-Documents are dealt into blocks by row hash. Each block sends its distinct n-grams, with their counts in the block, to
-the partition of their hash; there the counts are added up (the count table, partitioned by hash) and joined back to
-the n-grams of every block that asked; the block sums the scores per document. Distinct n-grams of a block are sent
-once, so the most frequent n-gram makes one entry per block, however many documents hold it.
-
-N-grams are compared by a 64-bit hash within a partition that a different mix of the same words chooses. Partitions
-grow in number with the corpus, so the chance of a collision does not grow with its square.
+Equal texts are scored once and count as often as they occur. Distinct texts are dealt into blocks. A block sends each of
+its distinct n-grams once, with its count in the block, to the partition of the count table that the n-gram's hash
+names; there the counts are added up and joined back to the n-grams that the blocks asked for, and the block sums the
+scores per document. So the most frequent n-gram makes one entry per block, however many documents hold it.
+
+A block sends ``FAN`` rows per order at most. Where the count table has more partitions, the rows of ``FAN`` blocks that
+name the same group of partitions meet first, are added up, and are sent on as one block is, level by level; answers
+come back the same way. So rows grow in proportion to the corpus, at every size.
+
+N-grams are packed as hashes, not as rows: a row per n-gram takes 26 bytes of shuffle where 8 do. An n-gram is known by a
+64-bit hash within the partition that a second, independent hash names. Partitions grow in number with the corpus, so the
+chance that two n-grams are taken for one does not grow with the square of the corpus.
 """
 
 from __future__ import annotations
@@ -17,7 +22,6 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import WORD_PATTERN, flat_words, fresh, text_of
 
@@ -45,40 +49,43 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of a block of texts: for each order, the hash and partition at each word, and its distinct entries."""
+    """The n-grams of a block of texts: for each order, the entry of each word in the distinct (partition, hash) pairs."""
 
     def __init__(self, texts: pa.Array, order: int, partitions: int):
         flat, self.sizes = flat_words(texts, lower=True)
         coded = flat.dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        known = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-        word = known[np.asarray(coded.indices)] if len(words) else np.zeros(0, np.uint64)
-        self.n = len(word)
+        codes = np.asarray(coded.indices)
+        grown = [np.zeros(0, np.uint64)] * 2
+        known = [np.fromiter(map(digest, words), np.uint64, len(words)) for digest in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest)]
+        word = [k[codes] if len(words) else np.zeros(0, np.uint64) for k in known]
+        self.n = len(codes)
         starts = np.cumsum(self.sizes) - self.sizes
-        place = np.arange(self.n) - np.repeat(starts, self.sizes)
+        self.place = np.arange(self.n) - np.repeat(starts, self.sizes)
         self.at: list[np.ndarray] = []  # for each order, the positions of the last words
         self.keys: list[tuple[np.ndarray, np.ndarray]] = []  # distinct (partition, hash), in order
         self.entry: list[np.ndarray] = []  # for each position, its entry in keys
-        self.times: list[np.ndarray] = []
-        grown = word
         for k in range(order):
-            if k:
-                with np.errstate(over="ignore"):
-                    grown = _scramble(np.concatenate((grown[:1], grown[:-1])) * np.uint64(3) + word + _GOLD * np.uint64(k))
-            at = np.flatnonzero(place >= k)
-            h = grown[at]
-            part = (_scramble(h + _GOLD) % np.uint64(partitions)).astype(np.int64)
-            order_ = np.lexsort((h, part))
-            sh, sp = h[order_], part[order_]
+            with np.errstate(over="ignore"):
+                grown = [_scramble(w * _GOLD) if k == 0 else _scramble(np.concatenate((g[:1], g[:-1])) * np.uint64(3) + w + _GOLD * np.uint64(k)) for g, w in zip(grown, word, strict=True)]
+            at = np.flatnonzero(self.place >= k)
+            h, part = grown[0][at], (grown[1][at] % np.uint64(partitions)).astype(np.int64)
+            by = np.argsort(h)
+            by = by[np.argsort(part[by], kind="stable")]
+            sh, sp = h[by], part[by]
             new = np.ones(len(sh), bool)
             new[1:] = (sh[1:] != sh[:-1]) | (sp[1:] != sp[:-1])
             entry = np.empty(len(sh), np.int64)
-            entry[order_] = np.cumsum(new) - 1
+            entry[by] = np.cumsum(new) - 1
             self.at.append(at)
             self.keys.append((sp[new], sh[new]))
             self.entry.append(entry)
-            self.times.append(np.bincount(entry, minlength=int(new.sum())) if len(entry) else np.zeros(0, np.int64))
+
+    def times(self, k: int, copies: np.ndarray) -> np.ndarray:
+        """Occurrences of each entry of an order, where each text counts ``copies`` times."""
+        weight = np.repeat(copies, self.sizes)[self.at[k]]
+        return np.bincount(self.entry[k], weights=weight, minlength=len(self.keys[k][0])).astype(np.int64)
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
@@ -86,6 +93,92 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
 
 
+#: Rows that a block sends for an order at most, and blocks that are added up on the way to more partitions.
+FAN = 1024
+ASKED = "bucket long, `order` int, `from` long, place long, parts binary, hashes binary, times binary"
+_ASKED = pa.schema([("bucket", pa.int64()), ("order", pa.int32()), ("from", pa.int64()), ("place", pa.int64()), ("parts", pa.binary()), ("hashes", pa.binary()), ("times", pa.binary())])
+ANSWERED = "to long, bucket long, `order` int, counts binary"
+_ANSWERED = pa.schema([("to", pa.int64()), ("bucket", pa.int64()), ("order", pa.int32()), ("counts", pa.binary())])
+
+
+def _send(part: np.ndarray, h: np.ndarray, times: np.ndarray, per: int, order: int, own: int, place: int, out: dict[str, list]) -> None:
+    """Rows of one sender: its entries (sorted by partition, then hash) by bucket of ``per`` partitions.
+
+    ``own`` names the sender, ``place`` its place among those that send to the same buckets.
+    """
+    bucket = part // per
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(cut, [*cut[1:], len(part)], strict=False):
+        inner = part[a:b] - bucket[a] * per
+        for c, x in (("bucket", int(bucket[a])), ("order", order), ("from", own), ("place", place), ("parts", pack(inner) if per > 1 else b""), ("hashes", h[a:b].tobytes()), ("times", pack(times[a:b]))):
+            out[c].append(x)
+
+
+class _Sum:
+    """The entries of several rows of one bucket added up, and where the entries of each row went."""
+
+    def __init__(self, table: pa.Table, per: int):
+        bucket = table.column("bucket")[0].as_py()
+        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        sizes = [len(x) for x in hashes]
+        times = np.concatenate([unpack(x, n) for x, n in zip(table.column("times").to_pylist(), sizes, strict=True)])
+        parts = np.concatenate([unpack(x, n) if per > 1 else np.zeros(n, np.int64) for x, n in zip(table.column("parts").to_pylist(), sizes, strict=True)]) + bucket * per
+        h = np.concatenate(hashes)
+        by = np.argsort(h)
+        by = by[np.argsort(parts[by], kind="stable")] if per > 1 else by
+        sh, sp = h[by], parts[by]
+        new = np.ones(len(sh), bool)
+        new[1:] = (sh[1:] != sh[:-1]) | (sp[1:] != sp[:-1])
+        self.where = np.empty(len(sh), np.int64)
+        self.where[by] = np.cumsum(new) - 1
+        self.part, self.hash = sp[new], sh[new]
+        self.times = np.bincount(self.where, weights=times, minlength=len(self.hash)).astype(np.int64)
+        self.ends = np.cumsum([0, *sizes])
+
+    def back(self, table: pa.Table, counts: np.ndarray, to: str) -> pa.Table:
+        mine = counts[self.where]
+        packed = [pack(mine[a:b]) for a, b in zip(self.ends[:-1], self.ends[1:], strict=True)]
+        return pa.table({"to": table.column(to), "bucket": table.column("bucket"), "order": table.column("order"), "counts": packed}, schema=_ANSWERED)
+
+
+def _received(answers: pa.Table, order: int, buckets: np.ndarray) -> np.ndarray:
+    """Counts of a sender's entries of an order, in its own sequence. ``buckets``: that of each entry."""
+    own = answers.filter(pc.equal(answers.column("order"), order)).sort_by("bucket")
+    sizes = np.unique(buckets, return_counts=True)[1].tolist()
+    got = [unpack(c, n) for c, n in zip(own.column("counts").to_pylist(), sizes, strict=True)]
+    return np.concatenate(got) if got else np.zeros(0, np.int64)
+
+
+def counted(asked: DataFrame, per: int, fan: int, senders: int, orders: int) -> DataFrame:
+    """Answers to questions by buckets of ``per`` partitions: the corpus count of every entry, for every sender.
+
+    ``senders``: places of senders below which all lie.
+    """
+    if per == 1:
+
+        def count(table: pa.Table) -> pa.Table:
+            total = _Sum(table, 1)
+            return total.back(table, total.times, "from")
+
+        return asked.groupBy("bucket", "order").applyInArrow(count, ANSWERED)
+    below = max(1, per // fan)
+
+    def relay(table: pa.Table) -> pa.Table:
+        total, out = _Sum(table, per), {c: [] for c in _ASKED.names}
+        _send(total.part, total.hash, total.times, below, table.column("order")[0].as_py(), table.column("relay")[0].as_py(), table.column("place")[0].as_py() // fan, out)
+        return pa.table(out, schema=_ASKED)
+
+    def give(table: pa.Table, answers: pa.Table) -> pa.Table:
+        total = _Sum(table, per)
+        return total.back(table, _received(answers, table.column("order")[0].as_py(), total.part // below), "from")
+
+    # a number for each bucket, order and group of senders
+    groups = senders // fan + 1
+    met = asked.withColumn("relay", F.expr(f"(bucket * {orders} + `order`) * {groups} + place div {fan}"))
+    further = counted(met.groupBy("relay").applyInArrow(relay, ASKED), below, fan, groups, orders)
+    return met.groupBy("relay").cogroup(further.groupBy("to")).applyInArrow(give, ANSWERED)
+
+
 def stupid_backoff(
     docs: DataFrame,
     text: str = "text",
@@ -94,6 +187,7 @@ def stupid_backoff(
     min_count: int = 2,
     block_bytes: int = 4 << 20,
     partition_bytes: int = 12 << 20,
+    fan: int = FAN,
 ) -> DataFrame:
     """All columns of ``docs`` with ``n_tokens``, ``n_backoff`` and ``score_micro`` (new names if these are taken).
 
@@ -106,81 +200,54 @@ def stupid_backoff(
     Null or empty texts and texts without words: zero tokens and score. Repeated rows are scored each, and each adds to
     the counts. An empty table gives an empty table.
     """
-    block, n_tokens, n_backoff, score = fresh(docs, "block", "n_tokens", "n_backoff", "score_micro")
-    size, words = docs.select(F.sum(F.octet_length(text_of(text))), F.sum(F.regexp_count(text_of(text), F.lit(WORD_PATTERN)))).first()
+    t1, t2, n_tokens, n_backoff, score = fresh(docs, "text_key", "text_key", "n_tokens", "n_backoff", "score_micro")
+    keys = (F.xxhash64(F.lit(1), text_of(text)), F.xxhash64(F.lit("second"), text_of(text)))
+    plain = docs.select(keys[0].alias("t1"), keys[1].alias("t2"), text_of(text).alias("text"))
+    size, words = plain.select(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit(WORD_PATTERN)))).first()
     blocks = max(1, -(-(size or 0) // block_bytes))
     partitions = max(1, -(-(size or 0) // partition_bytes))
-    total = words or 0
-
-    def orders(texts: pa.Array) -> Grams:
-        return Grams(texts, order, partitions)
+    total, top = words or 0, 1
+    while top * fan < partitions:
+        top *= fan
 
     def ask(table: pa.Table) -> pa.Table:
-        """A block's distinct n-grams, packed by partition and order: hashes in order, and their counts."""
-        out: dict[str, list] = {"part": [], "order": [], "from": [], "hashes": [], "times": []}
+        """A block's distinct n-grams, packed by bucket and order: hashes in order, and their counts."""
+        out: dict[str, list] = {c: [] for c in _ASKED.names}
         if table.num_rows:
-            g, own = orders(_column(table, text)), table.column(block)[0].as_py()
+            g, copies, own = Grams(_column(table, "text"), order, partitions), _column(table, "copies").to_numpy(), table.column("block")[0].as_py()
             for k in range(order):
-                part, h = g.keys[k]
-                cut = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.zeros(0, np.int64)
-                for a, b in zip(cut, [*cut[1:], len(part)], strict=False):
-                    out["part"].append(int(part[a]))
-                    out["order"].append(k)
-                    out["from"].append(own)
-                    out["hashes"].append(h[a:b].tobytes())
-                    out["times"].append(pack(g.times[k][a:b]))
-        return pa.table(out, schema=asked)
-
-    asked = pa.schema([("part", pa.int64()), ("order", pa.int32()), ("from", pa.int64()), ("hashes", pa.binary()), ("times", pa.binary())])
-    told = pa.schema([("to", pa.int64()), ("part", pa.int64()), ("order", pa.int32()), ("counts", pa.binary())])
-
-    def count(table: pa.Table) -> pa.Table:
-        """One partition of one order of the count table, joined back to what the blocks asked."""
-        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        times = [unpack(x, len(h)) for x, h in zip(table.column("times").to_pylist(), hashes, strict=True)]
-        known, where = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.bincount(where, weights=np.concatenate(times), minlength=len(known)).astype(np.int64)
-        mine, at = counts[where], np.cumsum([0, *map(len, hashes)])
-        packed = [pack(mine[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.table({"to": table.column("from"), "part": table.column("part"), "order": table.column("order"), "counts": packed}, schema=told)
-
-    shape = T.StructType([*docs.schema.fields, T.StructField(n_tokens, T.LongType()), T.StructField(n_backoff, T.LongType()), T.StructField(score, T.LongType())])
+                _send(*g.keys[k], g.times(k, copies), top, k, own, own, out)
+        return pa.table(out, schema=_ASKED)
 
     def sum_up(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        """Scores of a block's documents from the counts of its n-grams."""
-        g = orders(_column(rows, text))
+        """Scores of a block's texts from the counts of its n-grams."""
+        g = Grams(_column(rows, "text"), order, partitions)
         got: list[np.ndarray] = []
         for k in range(order):
-            own = answers.filter(pc.equal(answers.column("order"), k)).sort_by("part")
-            sizes = np.unique(g.keys[k][0], return_counts=True)[1].tolist()
-            values = [unpack(c, n) for c, n in zip(own.column("counts").to_pylist(), sizes, strict=True)]
-            flat = np.concatenate(values).astype(np.float64) if values else np.zeros(0)
             full = np.zeros(g.n)
-            full[g.at[k]] = flat[g.entry[k]]
+            full[g.at[k]] = _received(answers, k, g.keys[k][0] // top).astype(np.float64)[g.entry[k]]
             got.append(full)
-        here = np.arange(g.n)
         value, steps, open_ = np.zeros(g.n, np.int64), np.zeros(g.n, np.int64), np.ones(g.n, bool)
-        longest = np.zeros(g.n, np.int64)
-        for k in range(order):
-            longest[g.at[k]] = k
+        longest = np.minimum(g.place, order - 1)
         for k in range(order - 1, 0, -1):
             ready = open_ & (longest >= k)
-            hit = ready & (got[k] >= min_count)
-            at = here[hit]
+            at = np.flatnonzero(ready & (got[k] >= min_count))
             value[at] = np.rint(np.log(alpha ** steps[at] * got[k][at] / got[k - 1][at - 1]) * MICRO).astype(np.int64)
-            open_ &= ~hit
-            steps[ready & ~hit] += 1
-        at = here[open_]
+            open_[at] = False
+            steps[ready & open_] += 1
+        at = np.flatnonzero(open_)
         value[at] = np.rint(np.log(alpha ** steps[at] * got[0][at] / total) * MICRO).astype(np.int64)
         doc = np.repeat(np.arange(len(g.sizes)), g.sizes)
         sums, backs = np.zeros(len(g.sizes), np.int64), np.zeros(len(g.sizes), np.int64)
         np.add.at(sums, doc, value)
         np.add.at(backs, doc, steps)
-        out = rows.drop_columns([block])
-        return out.append_column(n_tokens, pa.array(g.sizes)).append_column(n_backoff, pa.array(backs)).append_column(score, pa.array(sums))
+        return pa.table({"t1": rows.column("t1"), "t2": rows.column("t2"), "n": pa.array(g.sizes), "back": pa.array(backs), "sum": pa.array(sums)})
 
-    dealt = docs.withColumn(block, F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]), F.lit(blocks))).repartition(block)
+    texts = plain.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     # both uses read the same columns, so they share one exchange of the texts
-    questions = dealt.groupBy(block).applyInArrow(ask, "part long, `order` int, `from` long, hashes binary, times binary")
-    answers = questions.groupBy("part", "order").applyInArrow(count, "to long, part long, `order` int, counts binary")
-    return dealt.groupBy(block).cogroup(answers.groupBy("to")).applyInArrow(sum_up, shape)
+    dealt = texts.withColumn("block", F.pmod("t1", F.lit(blocks))).repartition("block")
+    answers = counted(dealt.groupBy("block").applyInArrow(ask, ASKED), top, fan, blocks, order)
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(sum_up, "t1 long, t2 long, n long, back long, sum long")
+    keyed = docs.withColumns({t1: keys[0], t2: keys[1]})
+    named = scored.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("n").alias(n_tokens), F.col("back").alias(n_backoff), F.col("sum").alias(score))
+    return keyed.join(named, [t1, t2]).select(*[f"`{c}`" for c in docs.columns], n_tokens, n_backoff, score)
