@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,8 +65,9 @@ def repeated_words(codes: np.ndarray, kinds: int, sizes: np.ndarray) -> np.ndarr
     return out
 
 
-def describe(texts: pa.Array) -> dict[str, np.ndarray]:
-    """All counts and ratios of a batch of texts without nulls."""
+def describe(texts: pa.Array, words: int = 0) -> dict[str, np.ndarray]:
+    """All counts and ratios of a batch of texts without nulls; ``word_shares``: the share of each of ``words`` buckets of
+    hashed words (A-Z in lower case) among the words of a text."""
     texts = texts.cast(pa.large_string())
     flat, sizes = flat_words(texts)
     coded = flat.dictionary_encode()
@@ -89,7 +92,12 @@ def describe(texts: pa.Array) -> dict[str, np.ndarray]:
         lines[i], dup[i] = len(own), len(own) - len(set(own))
     chars, symbols, repeats = total(_WORD), total(_SYMBOL), repeated_words(codes, len(coded.dictionary), sizes)
     some, per = np.maximum(sizes, 1), np.maximum(chars, 1)
+    shares = np.zeros((len(sizes), words))
+    if words and len(codes):
+        bucket = np.fromiter((zlib.crc32(w) % words for w in pc.ascii_lower(coded.dictionary).cast(pa.large_binary()).to_pylist()), np.int64, len(coded.dictionary))
+        shares = np.bincount(doc * words + bucket[codes], minlength=len(sizes) * words).reshape(-1, words) / some[:, None]
     return {
+        "word_shares": shares,
         "n_words": sizes, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeats,
         "symbol_ratio": symbols / some, "repeat_ratio": repeats / some, "dup_line_ratio": dup / np.maximum(lines, 1), "upper_ratio": total(_UPPER) / per,
         "digit_ratio": total(_DIGIT) / per, "stop_ratio": total(_STOP) / some, "mark_ratio": total(_MARKS) / some, "mean_word": chars / some,
