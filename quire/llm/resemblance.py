@@ -297,15 +297,7 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     none_repeated = repeated.isEmpty()
     labels = components(prints, sets_of, hundredths)
     labelled = prints.select("r1", "r2", "doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "r1", "r2")
-    first = labelled.groupBy("label").agg(F.min(order).alias("w"))
-    # a row of any group that is not its first goes; rows equal in every column have one key
-    rest = labelled.join(first, "label").where((F.col("r1") != F.col("w.r1")) | (F.col("r2") != F.col("w.r2"))).select(F.col("r1").alias(r1), F.col("r2").alias(r2)).distinct()
-    rest = written(rest, "losers")
-    kept = chosen(keyed, rest, [r1, r2], "left_anti")
-    if not none_repeated:
-        once = chosen(kept, repeated, [r1, r2], "left_semi").dropDuplicates([r1, r2])
-        kept = chosen(kept, repeated, [r1, r2], "left_anti").unionByName(once)
-    discard(prints)
-    discard(labels)
+    kept = simhash.kept_firsts(keyed, labelled, (r1, r2))
+    for t in (prints, labels, repeated):
+        discard(t)
     return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import batch_bytes, discard, fresh, text_of, written
+from .common import batch_bytes, chosen, discard, fresh, row_keys, text_of, written
 from .graph import connected_components
 
 BITS = 64
@@ -341,7 +341,10 @@ def components(prints: DataFrame, fp: str, doc_id: str, max_distance: int = 4, b
     nodes = written(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("low")), "nodes")
     labels = connected_components(links(nodes, "fp", max_distance, bucket_rows))
     labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
+    labelled = written(labelled, "labelled")
+    least = written(labelled.groupBy("label").agg(F.min("low").alias("component_id")), "least")
+    discard(nodes)
+    # both sides are tables, so that the join can split a large component
     return labelled.join(least, "label").select("fp", "label", "component_id")
 
 
@@ -357,19 +360,36 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, max_distance: int = 4) -> DataFrame:
-    """Keep one document of each group: that of the smallest id (nulls last), then of the smallest row hash.
+    """Keep one document of each group: that of the smallest id (nulls last), then of the smallest row key.
 
     Of rows equal in every column one is kept. Columns are as in ``docs``.
     """
-    row, fp = fresh(docs, "row_hash", "fp")
-    keyed = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-    prints = written(keyed.select(F.col(row).alias("row"), F.col(doc_id).alias("doc_id"), fingerprint(text, shingle).alias("fp")), "prints")
-    found = components(prints, "fp", "doc_id", max_distance)
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    winners = prints.join(found.select("fp", "label"), "fp").groupBy("label").agg(F.min(order).alias("w")).select(F.col("w.row").alias(row))
-    winners = written(winners, "winners")
-    kept = keyed.join(winners, row, "left_semi")
-    repeated = prints.select(F.col("row").alias(row)).join(winners, row, "left_semi").groupBy(row).count().where("count > 1")
+    r1, r2, fp = fresh(docs, "row_key", "row_key", "fp")
+    keyed = docs.withColumns(dict(zip((r1, r2), row_keys(docs), strict=True)))
+    prints = written(keyed.select(F.col(r1).alias("r1"), F.col(r2).alias("r2"), F.col(doc_id).alias("doc_id"), fingerprint(text, shingle).alias("fp")), "prints")
+    found = written(components(prints, "fp", "doc_id", max_distance).select("fp", "label"), "found")
+    return kept_firsts(keyed, prints.join(found, "fp"), (r1, r2)).select(*[f"`{c}`" for c in docs.columns])
+
+
+def kept_firsts(keyed: DataFrame, labelled: DataFrame, keys: tuple[str, str]) -> DataFrame:
+    """The rows of ``keyed`` that are the first of their group: smallest id (nulls last), then smallest row key; of rows
+    with one key, which are equal in every column, one.
+
+    ``labelled``: r1, r2 (the row key, under the names ``keys`` in ``keyed``), doc_id, label. What goes is joined out, so
+    ``keyed`` is shuffled only if that is much.
+    """
+    labelled = written(labelled.select("r1", "r2", "doc_id", "label"), "labelled")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "r1", "r2")
+    # of groups of several rows; written, so that a large group can be split in the join
+    first = written(labelled.groupBy("label").agg(F.min(order).alias("w"), F.count("*").alias("c")).where("c > 1").select("label", "w"), "firsts")
+    named = [F.col(r).alias(k) for r, k in zip(("r1", "r2"), keys, strict=True)]
+    rest = labelled.join(first, "label").where((F.col("r1") != F.col("w.r1")) | (F.col("r2") != F.col("w.r2"))).select(*named).distinct()
+    rest = written(rest, "losers")
+    repeated = written(labelled.groupBy(*named).count().where("count > 1").select(*keys), "repeated")
+    kept = chosen(keyed, rest, list(keys), "left_anti")
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates([row])
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+        once = chosen(kept, repeated, list(keys), "left_semi").dropDuplicates(list(keys))
+        kept = chosen(kept, repeated, list(keys), "left_anti").unionByName(once)
+    discard(labelled)
+    discard(first)
+    return kept
