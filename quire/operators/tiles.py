@@ -92,3 +92,19 @@ def split_at_gap(b: Column, gap: Column, step: Column, least: float = 2.2) -> Co
     a = F.when(vertical, g.make_box(b["x"], b["y"], b["width"], first)).otherwise(g.make_box(b["x"], b["y"], first, b["height"]))
     c = F.when(vertical, g.make_box(b["x"], b["y"] + second, b["width"], long_ - second)).otherwise(g.make_box(b["x"] + second, b["y"], long_ - second, b["height"]))
     return F.when(good, F.array(a, c)).otherwise(F.array(b))
+
+
+def split_detections(boxes: DataFrame, ink: DataFrame, page: str = "page_id") -> DataFrame:
+    """All boxes, those with a gap in their ink cut in two and numbered anew in order: the columns of ``boxes``.
+
+    ``ink``: page, det_idx, projection (ink share of each sample along the line), step (pixels per sample). Boxes without
+    a projection stay whole.
+    """
+    b = g.box()
+    across = F.greatest(F.lit(1.0), F.least(F.col("width"), F.col("height")).cast("double")) / F.col("step")
+    told = boxes.join(ink.select(page, "det_idx", "projection", "step"), [page, "det_idx"], "left")
+    parts = F.when(F.col("projection").isNull(), F.array(b)).otherwise(split_at_gap(b, ink_gap(F.col("projection"), across), F.col("step")))
+    cut = told.select(*[c for c in boxes.columns if c not in ("x", "y", "width", "height")], F.posexplode(parts).alias("part", "b"))
+    order = Window.partitionBy(page).orderBy("det_idx", "part")
+    numbered = cut.withColumns({"number": (F.row_number().over(order) - 1).cast("long"), **{c: F.col(f"b.{c}") for c in ("x", "y", "width", "height")}})
+    return numbered.select(*[F.col("number").alias(c) if c == "det_idx" else F.col(c) for c in boxes.columns])

@@ -337,8 +337,9 @@ SELECT conv_id, round(avg(CASE WHEN regexp_replace(text, '^{SPACE}+|{SPACE}+$',
  'é', 'e'), 'è', 'e'), 'ê', 'e'), 'à', 'a'), 'ä', 'a'), 'ó', 'o'), 'ö', 'o'), 'n', 'ñ'), 'ü', 'u'), 'ú', 'u'), 'x', 'q'), 'q', 'k') AS text FROM documents""",
     "dict_search": f"""WITH entries(entry_idx, terms) AS (VALUES (0::BIGINT, ['e', 'é', 'è', 'ê']), (1, ['a', 'à', 'ä']), (2, ['sch', 'tion']), (3, ['o', 'ó', 'ö']), (4, ['ñ', 'n']), (5, ['u', 'ü', 'ú']), (6, ['q', 'x']), (7, ['k', 'q'])),
 terms AS (SELECT entry_idx, unnest(terms) AS term FROM entries),
-docs AS (SELECT doc_id, regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g') AS t FROM documents)
-SELECT doc_id, entry_idx, min(instr(t, term) - 1) AS position FROM docs JOIN terms ON contains(t, term) WHERE t <> '' GROUP BY doc_id, entry_idx
+docs AS (SELECT doc_id, regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g') AS t FROM documents),
+forms AS (SELECT doc_id, t FROM docs UNION SELECT doc_id, nfc_normalize(t) FROM docs)
+SELECT doc_id, entry_idx, min(instr(t, term) - 1) AS position FROM forms JOIN terms ON contains(t, term) WHERE t <> '' GROUP BY doc_id, entry_idx
 UNION ALL SELECT doc_id, entry_idx, -1 FROM docs CROSS JOIN entries WHERE t = ''""",
     "region_match": f"WITH RECURSIVE {MATCH} SELECT page_id, pred_idx, ref_idx, round(iou, 6) AS iou FROM matched",
     "detection_prf": f"WITH RECURSIVE {MATCH}, {COUNTS} SELECT {PRF} FROM prf",
@@ -370,7 +371,7 @@ j AS (SELECT coalesce(a.canvas_id, b.canvas_id) AS canvas_id, CASE WHEN a.canvas
  WHEN a.payload IS DISTINCT FROM b.payload THEN 'differs' END AS why FROM a FULL JOIN b ON a.canvas_id = b.canvas_id)
 SELECT * FROM j WHERE why IS NOT NULL""",
     "baseline_delta": "SELECT o_orderkey AS canvas_id, "
-    + ", ".join(f"round({METRIC.format(i=i + 1)} + 0.25 - {METRIC.format(i=i + 1)}, 6) AS {n}" for i, n in enumerate(NAMES))
+    + ", ".join(f"round(((o_orderkey + {i}) % 50) / 50::DOUBLE - {METRIC.format(i=i + 1)}, 6) AS {n}" for i, n in enumerate(NAMES))
     + " FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0",
     "cache_latest": "SELECT user_id, event_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) = 1",
     "cache_key_hash": f"""WITH {V_ASCII}, codes AS (SELECT doc_id, list_transform(string_split(t, ''), lambda c: CASE WHEN c = '' THEN NULL ELSE ascii(c)::BIGINT END) AS cs FROM v_ascii)
@@ -417,3 +418,12 @@ ends AS (SELECT page_id, open FROM walk WHERE cur IS NULL),
 flat AS (SELECT page_id, unnest(range(len(open))) AS merged_idx, unnest(open) AS b FROM ends)
 SELECT page_id, merged_idx, b.x AS x, b.y AS y, b.width AS width, b.height AS height, round(b.score, 6) AS score, NULL::DOUBLE AS paper_score FROM flat""",
 }
+
+_METRICS = ORACLES["page_metrics"]
+ORACLES["benchmark_records"] = f"""WITH {V_DET}, {V_PRED},
+found AS (SELECT page_id, count(*) AS n FROM v_det GROUP BY page_id), own AS (SELECT page_id, count(*) AS n FROM v_pred GROUP BY page_id), m AS ({_METRICS})
+SELECT f.page_id, 2::BIGINT AS "schemaVersion", 'unknown' AS "modelRevision", 'test' AS browser, 'balanced' AS profile, CASE WHEN f.page_id % 2 = 0 THEN 880.0 ELSE 440.0 END::DOUBLE AS image_width,
+       coalesce(own.n, 0)::BIGINT AS n_lines, m.predicted, m.reference, m.cer, m.order_accuracy, m.empty_rate
+FROM found f LEFT JOIN own USING (page_id) LEFT JOIN m ON m.page_id = f.page_id AND f.page_id % 3 <> 0"""
+ORACLES["csv_numbers"] = """SELECT l_orderkey AS "canvasId", l_linenumber AS "lineIndex",
+       repeat(',', 10) || l_orderkey || ',' || l_linenumber || ',,,,' || regexp_replace(l_quantity::DOUBLE::VARCHAR, '[.]0$', '') || ',' || regexp_replace((l_linenumber / 8)::DOUBLE::VARCHAR, '[.]0$', '') || repeat(',', 17) AS line FROM lineitem"""

@@ -273,7 +273,7 @@ def dict_normalize(spark, d):
 @query
 def dict_search(spark, d):
     docs = views.table(spark, d, "documents").select("doc_id", "text")
-    found = dictionary.search(docs, entries(spark), "doc_id", fold=False)
+    found = dictionary.search(docs, entries(spark), "doc_id")
     return done(found.select("doc_id", "entry_idx", "position"))
 
 
@@ -340,7 +340,7 @@ def _runs(spark, d) -> tuple[DataFrame, DataFrame]:
     metrics = F.struct(*[((F.col("o_totalprice") * (i + 1)) % 1000 / 1000).alias(c) for i, c in enumerate(records.METRICS)])
     first = orders.where(k % 3 != 1).select(k.alias("canvas_id"), F.col("o_custkey").alias("payload"), F.when(k % 7 != 0, metrics).alias("metrics"))
     second = orders.where(k % 3 != 2).select(k.alias("canvas_id"), (F.col("o_custkey") + (k % 5 == 0).cast("int")).alias("payload"), F.when(k % 11 != 0, metrics).alias("metrics"))
-    changed = second.withColumn("metrics", F.when(F.col("metrics").isNotNull(), F.struct(*[(F.col(f"metrics.{c}") + 0.25).alias(c) for c in records.METRICS])))
+    changed = second.withColumn("metrics", F.when(F.col("metrics").isNotNull(), F.struct(*[((F.col("canvas_id") + i) % 50 / 50).alias(c) for i, c in enumerate(records.METRICS)])))
     return first, changed
 
 
@@ -431,6 +431,29 @@ def csv_lines(spark, d):
     return rows.select("canvasId", "lineIndex", records.csv_row(rows).alias("line"))
 
 
+@query
+def benchmark_records(spark, d):
+    """A record per page of a run, with options, counts and metrics; every third page has no ground truth."""
+    boxes = views.detections(spark, d)
+    pred, wanted = views.predictions(boxes), views.truths(boxes)
+    names = {"page_id": "canvasId", "pred_idx": "detectionIndex", "recognition_score": "recognitionScore", "ended_with_eos": "endedWithEos", "reading_order": "readingOrder"}
+    lines = pred.withColumnsRenamed({k: v for k, v in names.items() if k in pred.columns})
+    found = boxes.select(F.col("page_id").alias("canvasId")).distinct().withColumns({"width": F.lit(440.0), "height": F.lit(700.0), "imageWidth": F.when(F.col("canvasId") % 2 == 0, 880.0)})
+    out = pages.run_dataset(found, lines, wanted.where("page_id % 3 <> 0").withColumnRenamed("page_id", "canvasId"), Options.of(profile="balanced"), engine="test")
+    flat = out.select(
+        F.col("canvasId").alias("page_id"), "schemaVersion", "modelRevision", F.col("execution.browser").alias("browser"), F.col("execution.profile").alias("profile"), F.col("output.imageWidth").alias("image_width"),
+        F.size("output.lines").alias("n_lines"), F.col("metrics.predicted").alias("predicted"), F.col("metrics.reference").alias("reference"), F.col("metrics.cer").alias("cer"),
+        F.col("metrics.order_accuracy").alias("order_accuracy"), F.col("metrics.empty_rate").alias("empty_rate"),
+    )
+    return done(flat)
+
+
+@query
+def csv_numbers(spark, d):
+    rows = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("canvasId"), F.col("l_linenumber").alias("lineIndex"), F.col("l_quantity").cast("double").alias("detectionScore"), (F.col("l_linenumber") / 8).alias("recognitionScore"))
+    return done(rows.select("canvasId", "lineIndex", records.csv_row(rows).alias("line")))
+
+
 @query
 def image_kernels(spark, d):
     """Embeddings as 8 x 8 images: paper share, ink regions and deskew rank of each."""

@@ -19,8 +19,8 @@ def one(spark, column):
 
 
 def test_suppression_drops_contained_boxes(spark):
-    frame = boxes(spark, [(0, 0, 20, 20), (100, 0, 20, 20), (4, 4, 8, 8), (200, 0, 20, 20)], [0.4, 0.7, 0.2, 0.5])
-    assert [r["score"] for r in detect.global_nms(frame).orderBy("rank").collect()] == [0.7, 0.5, 0.4]
+    frame = boxes(spark, [(310, 40, 33, 17), (12, 9, 51, 30), (20, 14, 21, 13), (150, 220, 18, 64), (151, 221, 16, 62)], [0.61, 0.93, 0.92, 0.35, 0.34])
+    assert [r["score"] for r in detect.global_nms(frame).orderBy("rank").collect()] == [0.93, 0.61, 0.35]
 
 
 def test_suppressed_boxes_do_not_suppress_and_thresholds_are_inclusive(spark):
@@ -31,10 +31,10 @@ def test_suppressed_boxes_do_not_suppress_and_thresholds_are_inclusive(spark):
 
 
 def test_fragments_of_a_column_merge_but_columns_do_not(spark):
-    frame = boxes(spark, [(100, 0, 12, 40), (100, 43, 12, 36), (80, 0, 12, 79)], [0.7, 0.6, 0.8])
+    frame = boxes(spark, [(211, 15, 14, 52), (211, 70, 14, 45), (180, 15, 14, 100)], [0.52, 0.58, 0.91])
     rows = {r["x"]: r for r in detect.merge_adjacent(frame, orientation="vertical").collect()}
     assert len(rows) == 2
-    assert tuple(rows[100.0])[2:7] == (100.0, 0.0, 12.0, 79.0, 0.7) and rows[100.0]["paper_score"] is None
+    assert tuple(rows[211.0])[2:7] == (211.0, 15.0, 14.0, 100.0, 0.58) and rows[211.0]["paper_score"] is None
 
 
 def test_merging_keeps_the_least_paper_score(spark):
@@ -43,7 +43,7 @@ def test_merging_keeps_the_least_paper_score(spark):
 
 
 def test_adjacent_expression_agrees_with_the_kernel(spark):
-    a, b, far = literal(100, 0, 12, 40), literal(100, 43, 12, 36), literal(80, 0, 12, 79)
+    a, b, far = literal(211, 15, 14, 52), literal(211, 70, 14, 45), literal(180, 15, 14, 100)
     assert one(spark, detect.adjacent(a, b, True)) and not one(spark, detect.adjacent(a, far, True))
 
 
@@ -70,13 +70,16 @@ def ordered(spark, rows, **how):
 
 
 def test_reading_orders(spark):
-    assert ordered(spark, [(100, 0, 12, 40), (100, 50, 12, 40), (20, 0, 12, 40), (20, 50, 12, 40)]) == [0, 1, 2, 3]
-    assert ordered(spark, [(100, 0, 12, 20), (20, 0, 12, 20), (100, 35, 12, 80), (20, 35, 12, 80)]) == [0, 1, 2, 3]
-    assert ordered(spark, [(100, 0, 14, 80), (86, 0, 14, 80), (72, 0, 10, 80)]) == [0, 1, 2]
-    assert ordered(spark, [(90, 0, 80, 100), (30, 0, 80, 100)]) == [0, 1]
-    assert ordered(spark, [(0, 30, 80, 10), (0, 0, 80, 10)]) == [1, 0]
-    assert ordered(spark, [(0, 30, 80, 10), (0, 0, 80, 10)], scattered=True) == [0, 1]
-    assert ordered(spark, [(0, 0, 10, 50), (20, 0, 10, 50)], mode="horizontal") == [0, 1]
+    # columns from the right, each from the top, given from the left and the bottom
+    assert ordered(spark, [(31, 140, 15, 90), (33, 12, 15, 95), (240, 150, 15, 88), (238, 10, 15, 92)]) == [3, 2, 1, 0]
+    # three touching columns of one block
+    assert ordered(spark, [(60, 5, 17, 130), (77, 5, 17, 130), (94, 5, 17, 130)]) == [2, 1, 0]
+    # rows from the top; scattered lines keep the order of detection
+    assert ordered(spark, [(14, 170, 210, 18), (12, 33, 205, 18), (15, 96, 200, 18)]) == [1, 2, 0]
+    assert ordered(spark, [(14, 170, 210, 18), (12, 33, 205, 18)], scattered=True) == [0, 1]
+    # the mode given outweighs the boxes' own
+    assert ordered(spark, [(180, 7, 16, 70), (20, 7, 16, 70)], mode="horizontal") == [1, 0]
+    assert ordered(spark, [(180, 7, 16, 70), (20, 7, 16, 70)]) == [0, 1]
 
 
 def test_reading_order_is_a_permutation(spark):

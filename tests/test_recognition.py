@@ -156,7 +156,7 @@ def test_retries_spend_the_budget_in_order(spark):
     by_page = {p: sorted((r["det_idx"], r["ord"], r["preprocessing"], r["orientation"]) for r in found if r["page_id"] == p) for p in range(3)}
     # the first line takes direction, padded and (failing) crop; nothing is left for the others
     assert by_page[0] == by_page[1] == by_page[2] == [(0, 0, "original", "auto"), (0, 1, "original", "rotate-90"), (0, 2, "padded", "auto"), (1, 0, "original", "auto"), (2, 0, "original", "auto"), (3, 0, "original", "auto")]
-    lines = pages.recognise(boxes, make_scorer, Options.of(profile="accurate"))
+    lines = pages.recognise(boxes, make_scorer, Options.of(profile="accurate", adaptive_tiling=False))
     assert lines.count() == 12 and {r["reading_order"] for r in lines.where("page_id = 0").collect()} == {0, 1, 2, 3}
     stats = pages.run_stats(retry.recognise_pages(padded, make_scorer, Options.of(profile="accurate"))).collect()
     assert {r["extra_attempts"] for r in stats} == {6}
