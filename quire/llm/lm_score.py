@@ -16,6 +16,8 @@ chance that two n-grams are taken for one does not grow with the square of the c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -179,6 +181,14 @@ def counted(asked: DataFrame, per: int, fan: int, senders: int, orders: int) ->
     return met.groupBy("relay").cogroup(further.groupBy("to")).applyInArrow(give, ANSWERED)
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text of a batch once, with its number of copies."""
+    for b in batches:
+        keys = np.stack([b.column(k).to_numpy() for k in (0, 1)], axis=1)
+        _, first, copies = np.unique(keys, axis=0, return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(first)) for c in b.columns), pa.array(copies)], names=["t1", "t2", "text", "copies"])
+
+
 def stupid_backoff(
     docs: DataFrame,
     text: str = "text",
@@ -243,9 +253,9 @@ def stupid_backoff(
         np.add.at(backs, doc, steps)
         return pa.table({"t1": rows.column("t1"), "t2": rows.column("t2"), "n": pa.array(g.sizes), "back": pa.array(backs), "sum": pa.array(sums)})
 
-    texts = plain.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    # both uses read the same columns, so they share one exchange of the texts
-    dealt = texts.withColumn("block", F.pmod("t1", F.lit(blocks))).repartition("block")
+    # equal texts of a batch become one row before the shuffle; both uses read the same columns, so they share one exchange
+    dealt = plain.mapInArrow(_once, "t1 long, t2 long, text string, copies long").withColumn("block", F.pmod("t1", F.lit(blocks))).repartition("block")
+    dealt = dealt.groupBy("block", "t1", "t2").agg(F.first("text").alias("text"), F.sum("copies").alias("copies"))
     answers = counted(dealt.groupBy("block").applyInArrow(ask, ASKED), top, fan, blocks, order)
     scored = dealt.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(sum_up, "t1 long, t2 long, n long, back long, sum long")
     keyed = docs.withColumns({t1: keys[0], t2: keys[1]})
