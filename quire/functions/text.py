@@ -46,9 +46,8 @@ def cer(reference: Column, prediction: Column) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over UTF-16 units, as eight hexadecimal digits."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    n = (F.length(units) / 4).cast("int")
-    codes = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(units, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit(".{4}"), F.lit(0))
+    codes = F.transform(units, lambda u: F.conv(u, 16, 10).cast("long"))
     # the product of two 32-bit numbers stays below 2^57, so a long holds it
     state = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     return F.lower(F.lpad(F.hex(state), 8, "0"))

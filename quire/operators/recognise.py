@@ -109,7 +109,7 @@ def candidate(frame: DataFrame) -> Column:
 def same_cluster(a: Column, b: Column) -> Column:
     """Whether two texts are readings of the same line: equal, or a quarter of the length apart at most (1 at least)."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest <= 1, a == b).otherwise(edit_distance(a, b) <= F.greatest(F.lit(1), F.floor(longest * 0.25).cast("int")))
+    return F.when((longest <= 1) | (a == b), a == b).otherwise(edit_distance(a, b) <= F.greatest(F.lit(1), F.floor(longest * 0.25).cast("int")))
 
 
 def _kinds(cluster: Column) -> Column:
@@ -148,8 +148,9 @@ def select_candidates(candidates: DataFrame, *keys: str) -> DataFrame:
     def add(acc: Column, c: Column) -> Column:
         similar = lambda cluster: F.exists(cluster, lambda o: same_cluster(o["text"], c["text"]))
         at = F.get(F.filter(F.transform(acc, lambda x, i: F.when(similar(x), i)), lambda i: i.isNotNull()), F.lit(0))
-        grown = F.transform(acc, lambda x, i: F.when(i == at, F.concat(x, F.array(c))).otherwise(x))
-        return F.when(at.isNull(), F.concat(acc, F.array(F.array(c)))).otherwise(grown)
+        grown = lambda k: F.transform(acc, lambda x, i: F.when(i == k, F.concat(x, F.array(c))).otherwise(x))
+        # a lambda binds the place, so that distances are computed once
+        return F.get(F.transform(F.array(at), lambda k: F.when(k.isNull(), F.concat(acc, F.array(F.array(c)))).otherwise(grown(k))), F.lit(0))
 
     grouped = lines.withColumn("clusters", F.aggregate("all", empty, add))
     judged = grouped.withColumn("judged", F.transform("clusters", lambda x, i: F.struct(_kinds(x).alias("kinds"), F.size(x).alias("n"), _best(x)["u"].alias("u"), (-i).alias("first"), _best(x).alias("best"))))

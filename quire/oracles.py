@@ -22,24 +22,34 @@ V_PRED = """v_pred AS (
          score AS recognition_score, det_idx % 11 <> 0 AS ended_with_eos, det_idx * 7 % 101 AS reading_order
   FROM v_det)"""
 
-V_ASCII = r"""v_ascii AS (
-  SELECT doc_id, left(text, 40) AS t, n_chars FROM documents
-  WHERE lang = 'en' AND regexp_full_match(left(text, 40), '[\x00-\x7F]*'))"""
-
-V_PAIR = V_ASCII + """,
+# DuckDB's levenshtein counts bytes: texts are coded with one byte for each distinct character, of which the tables have
+# fewer than 128.
+V_TEXT = """v_chars AS (
+  SELECT DISTINCT unnest(string_split(coalesce(text, '') || 'cèнe~', '')) AS ch FROM documents),
+v_code AS (
+  SELECT string_agg(ch, '' ORDER BY k) AS wide, string_agg(chr(k), '' ORDER BY k) AS narrow
+  FROM (SELECT ch, row_number() OVER (ORDER BY ch)::INTEGER AS k FROM v_chars)),
+v_text AS (
+  SELECT doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), wide, narrow) AS s, n_chars FROM documents CROSS JOIN v_code)"""
+
+V_PAIR = V_TEXT + """,
 v_pair AS (
-  SELECT * FROM (SELECT doc_id, t AS a, lead(t) OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS b FROM v_ascii) WHERE b IS NOT NULL)"""
-
-V_CAND = V_ASCII + """,
+  SELECT * FROM (SELECT doc_id, s AS a, lead(s) OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS b FROM v_text) WHERE b IS NOT NULL)"""
+
+V_CAND = V_TEXT + """,
+v_line AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS line_idx FROM v_text),
+v_read AS (
+  SELECT doc_id, line_idx, ord, CASE ord WHEN 0 THEN line WHEN 1 THEN translate(line, 'eéио', 'cèнe') ELSE line || '~' END AS text
+  FROM v_line CROSS JOIN (SELECT unnest(range(3)) AS ord)),
 v_cand AS (
-  SELECT doc_id // 10 AS line_id, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) - 1 AS ord,
-         CASE WHEN doc_id % 3 = 0 THEN left(t, 12) WHEN doc_id % 3 = 1 THEN 'The and attion' ELSE 'The and att' || left(t, 2) END AS text,
-         (n_chars % 89) / 89.0::DOUBLE AS recognition_score, (n_chars % 47) / 47.0::DOUBLE AS minimum_token_score,
-         (n_chars % 31) / 10.0::DOUBLE AS mean_token_margin,
-         CASE WHEN n_chars % 5 <> 0 THEN (n_chars % 23) / 23.0::DOUBLE END AS eos_score, n_chars % 4 <> 0 AS ended_with_eos,
-         CASE WHEN doc_id % 2 = 0 THEN 'original' ELSE 'padded' END AS preprocessing,
-         (10 + n_chars % 300)::DOUBLE AS width, (5 + doc_id % 40)::DOUBLE AS height
-  FROM v_ascii),
+  SELECT doc_id, line_idx, doc_id * 1000000 + line_idx AS line_id, ord, text, translate(text, wide, narrow) AS s,
+         (n % 89) / 89.0::DOUBLE AS recognition_score, (n % 47) / 47.0::DOUBLE AS minimum_token_score,
+         (n % 31) / 10.0::DOUBLE AS mean_token_margin,
+         CASE WHEN n % 5 <> 0 THEN (n % 23) / 23.0::DOUBLE END AS eos_score, n % 4 <> 0 AS ended_with_eos,
+         CASE WHEN ord % 2 = 0 THEN 'original' ELSE 'padded' END AS preprocessing,
+         (10 + n % 300)::DOUBLE AS width, (5 + ord * 7)::DOUBLE AS height
+  FROM (SELECT *, length(text) + doc_id AS n FROM v_read) CROSS JOIN v_code),
 v_util AS (
   SELECT *, recognition_score * 0.65::DOUBLE + minimum_token_score * 0.2::DOUBLE
             + (1 - exp(-greatest(0.0::DOUBLE, mean_token_margin))) * 0.15::DOUBLE
@@ -180,12 +190,12 @@ CLUSTERS = f"""{V_CAND},
 walk AS (
   SELECT line_id, -1::BIGINT AS ord, []::STRUCT(texts VARCHAR[], ords BIGINT[])[] AS cl FROM (SELECT DISTINCT line_id FROM v_util)
   UNION ALL
-  SELECT line_id, ord, CASE WHEN hit IS NULL THEN list_append(cl, {{'texts': [text], 'ords': [ord]}})
-           ELSE list_transform(cl, lambda c, i: CASE WHEN i = hit THEN {{'texts': list_append(c.texts, text), 'ords': list_append(c.ords, ord)}} ELSE c END) END
-  FROM (SELECT w.line_id, v.ord, v.text, w.cl,
+  SELECT line_id, ord, CASE WHEN hit IS NULL THEN list_append(cl, {{'texts': [s], 'ords': [ord]}})
+           ELSE list_transform(cl, lambda c, i: CASE WHEN i = hit THEN {{'texts': list_append(c.texts, s), 'ords': list_append(c.ords, ord)}} ELSE c END) END
+  FROM (SELECT w.line_id, v.ord, v.s, w.cl,
                list_min(list_filter(list_transform(w.cl, lambda c, k: CASE WHEN len(list_filter(c.texts, lambda o:
-                 CASE WHEN greatest(length(o), length(v.text)) <= 1 THEN o = v.text
-                      ELSE levenshtein(o, v.text) <= greatest(1, floor(greatest(length(o), length(v.text)) * 0.25)) END)) > 0 THEN k END), lambda k: k IS NOT NULL)) AS hit
+                 CASE WHEN greatest(length(o), length(v.s)) <= 1 THEN o = v.s
+                      ELSE levenshtein(o, v.s) <= greatest(1, floor(greatest(length(o), length(v.s)) * 0.25)) END)) > 0 THEN k END), lambda k: k IS NOT NULL)) AS hit
         FROM walk w JOIN v_util v ON v.line_id = w.line_id AND v.ord = w.ord + 1)),
 final AS (SELECT line_id, arg_max(cl, ord) AS cl FROM walk GROUP BY line_id),
 members AS (
@@ -258,11 +268,11 @@ SELECT page_id, det_idx, 'https://images.example/' || page_id || '/' || x::BIGIN
 placed AS (SELECT *, {clamp("floor(x / 4 / 100 * 1234 + 0.5)", "0", "1233")} AS px, {clamp("floor(y / 6 / 100 * 987 + 0.5)", "0", "986")} AS py FROM v_det)
 SELECT page_id, det_idx, 'https://images.example/p/' || px::BIGINT || ',' || py::BIGINT || ',' || ({clamp("floor(width / 4 / 100 * 1234 + 0.5)", "1", "1234 - px")})::BIGINT || ','
        || ({clamp("floor(height / 6 / 100 * 987 + 0.5)", "1", "987 - py")})::BIGINT || '/!512,512/0/default.jpg' AS url FROM placed""",
-    "layout_blocks": f"WITH {laid('SELECT * FROM v_det WHERE det_idx % 5 = 0')} SELECT page_id, det_idx, block::BIGINT AS block FROM blocks",
+    "layout_blocks": f"WITH {laid('SELECT * REPLACE (width / 8 AS width, height / 8 AS height) FROM v_det')} SELECT page_id, det_idx, block::BIGINT AS block FROM blocks",
     "reading_order": order_sql("SELECT * FROM v_det"),
-    "reading_order_sparse": order_sql("SELECT * FROM v_det WHERE det_idx % 5 = 0"),
+    "reading_order_sparse": order_sql("SELECT * REPLACE (width / 8 AS width, height / 8 AS height) FROM v_det"),
     "tiles_topk": f"""WITH {V_DET},
-regions AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN 420.0::DOUBLE ELSE 900.0::DOUBLE END AS w, 640.0::DOUBLE AS h FROM v_det WHERE det_idx % 7 = 0),
+regions AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN 420.0::DOUBLE ELSE 900.0::DOUBLE END AS w, 640.0::DOUBLE AS h FROM v_det),
 grid AS (SELECT DISTINCT page_id, w, h, CASE WHEN h > w * 1.15 THEN 3 ELSE 2 END AS rows_, CASE WHEN h > w * 1.15 THEN 1 ELSE 2 END AS cols FROM regions),
 r AS (SELECT *, unnest(range(rows_)) AS r FROM grid), rc AS (SELECT *, unnest(range(cols)) AS c FROM r),
 raw AS (
@@ -279,7 +289,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY round(cove
 SELECT page_id, tile_id, round(x, 6) AS x, round(y, 6) AS y, round(width, 6) AS width, round(height, 6) AS height, round(coverage, 6) AS coverage, rank FROM ranked WHERE rank <= 2""",
     "tile_restore": f"""WITH {V_DET}, c AS (SELECT *, {clamp("200 + x", "0", "420")} AS x1, {clamp("300 + y", "0", "640")} AS y1 FROM v_det)
 SELECT page_id, det_idx, x1 AS x, y1 AS y, greatest(x1, least(420, 200 + x + width)) - x1 AS width, greatest(y1, least(640, 300 + y + height)) - y1 AS height FROM c""",
-    "paper_score": f"""WITH {V_DET}, {V_TRUTH}, paper AS (SELECT page_id, x, y, width * 3 AS width, height * 3 AS height FROM v_truth WHERE ref_idx < 6)
+    "paper_score": f"""WITH {V_DET}, {V_TRUTH}, paper AS (SELECT page_id, x, y, width * 3 AS width, height * 3 AS height FROM v_truth)
 SELECT b.page_id, b.det_idx, round(CASE WHEN b.page_id % 5 = 0 OR count(p.x) = 0 THEN 0.5 ELSE least(1.0, max({inter("b", "p")} / {area("b")})) END, 6)::DOUBLE AS paper_score
 FROM v_det b LEFT JOIN paper p USING (page_id) GROUP BY b.page_id, b.det_idx""",
     "line_windows": f"""WITH {V_DET},
@@ -314,21 +324,24 @@ sums AS (
          sum(-ln(p)) AS nll, count(*) AS n, arg_max(eos, position) AS eos_score, min(p) FILTER (token) AS least_p, avg(greatest(0.0, top - second)) FILTER (token) AS margin FROM used GROUP BY vec_id)
 SELECT vec_id, text, round(CASE WHEN ended_with_eos THEN exp(-nll / n) ELSE exp(-(nll - ln(eos_score)) / (n + 1)) END, 6) AS recognition_score,
        round(coalesce(least_p, eos_score), 6) AS minimum_token_score, round(coalesce(margin, 0), 6) AS mean_token_margin, round(eos_score, 6) AS eos_score, ended_with_eos FROM sums""",
-    "low_confidence": f"""WITH {V_CAND} SELECT line_id, ord, regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g') = '' OR NOT ended_with_eos OR recognition_score < 0.58 OR minimum_token_score < 0.28
+    "low_confidence": f"""WITH {V_CAND} SELECT doc_id, line_idx, ord, regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g') = '' OR NOT ended_with_eos OR recognition_score < 0.58 OR minimum_token_score < 0.28
  OR mean_token_margin < 0.35 OR (greatest(width, height) / greatest(1.0, least(width, height)) >= 8 AND length(text) < 2) AS low FROM v_cand""",
-    "candidate_utility": f"WITH {V_CAND} SELECT line_id, ord, round(u, 6) AS utility FROM v_util",
-    "candidate_top_score": f"WITH {V_CAND} SELECT line_id, ord, text FROM v_cand QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY recognition_score DESC, ord) = 1",
-    "candidate_consensus": f"WITH RECURSIVE {CLUSTERS} SELECT line_id, ord, text, n_alternatives::BIGINT AS n_alternatives, uncertain, reason FROM chosen",
+    "candidate_utility": f"WITH {V_CAND} SELECT doc_id, line_idx, ord, round(u, 6) AS utility FROM v_util",
+    "candidate_top_score": f"WITH {V_CAND} SELECT doc_id, line_idx, ord, text FROM v_cand QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY recognition_score DESC, ord) = 1",
+    "candidate_consensus": f"WITH RECURSIVE {CLUSTERS} SELECT line_id // 1000000 AS doc_id, line_id % 1000000 AS line_idx, ord, text, n_alternatives::BIGINT AS n_alternatives, uncertain, reason FROM chosen",
     "strategy_compare": f"""WITH RECURSIVE {CLUSTERS},
 tops AS (SELECT line_id, text FROM v_cand QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY recognition_score DESC, ord) = 1)
-SELECT line_id, c.text AS consensus_text, t.text AS score_text, c.text <> t.text AS differs FROM chosen c JOIN tops t USING (line_id)""",
+SELECT line_id // 1000000 AS doc_id, line_id % 1000000 AS line_idx, c.text AS consensus_text, t.text AS score_text, c.text <> t.text AS differs FROM chosen c JOIN tops t USING (line_id)""",
     "edit_distance": f"WITH {V_PAIR} SELECT doc_id, levenshtein(a, b)::BIGINT AS distance FROM v_pair",
     "edit_distance_norm": f"WITH {V_PAIR} SELECT doc_id, round(CASE WHEN greatest(length(a), length(b)) > 0 THEN levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE ELSE 0 END, 6) AS distance FROM v_pair",
     "cer": f"WITH {V_PAIR} SELECT doc_id, round(CASE WHEN length(a) > 0 THEN levenshtein(a, b) / length(a)::DOUBLE WHEN length(b) > 0 THEN 1 ELSE 0 END, 6) AS cer FROM v_pair",
-    "segment_merge": f"""WITH {V_ASCII},
-pieces AS (SELECT doc_id, substr(t, 1, 16) AS p1, substr(t, 12, 2) || '~' || substr(t, 15, 13) AS p2, substr(t, 24, 17) AS p3 FROM v_ascii),
-two AS (SELECT doc_id, {joined_piece("p1", "p2")} AS m, p3 FROM pieces)
-SELECT doc_id, {joined_piece("m", "p3")} AS merged FROM two""",
+    "segment_merge": f"""WITH {V_TEXT},
+pieces AS (
+  SELECT doc_id, substr(s, 1, k + 5) AS p1, substr(s, k + 1, k + 5) AS p2, substr(s, 2 * k + 1) AS p3
+  FROM (SELECT *, length(s) // 3 AS k FROM v_text)),
+two AS (SELECT doc_id, {joined_piece("p1", "p2")} AS m, p3 FROM pieces),
+three AS (SELECT doc_id, {joined_piece("m", "p3")} AS merged FROM two)
+SELECT doc_id, translate(merged, narrow, wide) AS merged FROM three CROSS JOIN v_code""",
     "line_search": f"""WITH lines AS (SELECT conv_id, turn, regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g') AS line FROM conversations)
 SELECT conv_id, turn, instr(line, 'tion') - 1 AS position, length(line) AS n_chars FROM lines WHERE contains(line, 'tion')""",
     "empty_rate": f"""WITH lines AS (SELECT conv_id, CASE WHEN turn % 5 = 4 THEN ' ' || chr(9) || chr(12288) ELSE text END AS text FROM conversations)
@@ -374,8 +387,9 @@ SELECT * FROM j WHERE why IS NOT NULL""",
     + ", ".join(f"round(((o_orderkey + {i}) % 50) / 50::DOUBLE - {METRIC.format(i=i + 1)}, 6) AS {n}" for i, n in enumerate(NAMES))
     + " FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0",
     "cache_latest": "SELECT user_id, event_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) = 1",
-    "cache_key_hash": f"""WITH {V_ASCII}, codes AS (SELECT doc_id, list_transform(string_split(t, ''), lambda c: CASE WHEN c = '' THEN NULL ELSE ascii(c)::BIGINT END) AS cs FROM v_ascii)
-SELECT doc_id, lpad(lower(hex(list_reduce(list_prepend(2166136261::BIGINT, list_filter(cs, lambda c: c IS NOT NULL)), lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0') AS hash FROM codes""",
+    "cache_key_hash": """WITH chars AS (SELECT doc_id, list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT) AS cs FROM documents),
+units AS (SELECT doc_id, flatten(list_transform(cs, lambda c: CASE WHEN c > 65535 THEN [55296 + (c - 65536) // 1024, 56320 + c % 1024] ELSE [c] END)) AS us FROM chars)
+SELECT doc_id, lpad(lower(hex(list_reduce(list_prepend(2166136261::BIGINT, us), lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0') AS hash FROM units""",
     "upper_median": "SELECT l_orderkey, round(list_sort(list(l_quantity))[count(*) // 2 + 1], 6) AS median FROM lineitem GROUP BY l_orderkey",
     "floor_percentile": "SELECT l_orderkey, "
     + ", ".join(f"round(list_sort(list(l_extendedprice))[floor((count(*) - 1) * {p}::DOUBLE)::BIGINT + 1], 6) AS p{int(p * 100)}" for p in (0.05, 0.82, 0.95))

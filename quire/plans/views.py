@@ -50,50 +50,29 @@ def predictions(boxes: DataFrame) -> DataFrame:
     )
 
 
-def ascii_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents whose first 40 characters are ASCII: doc_id, t (these), n_chars."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.left("text", F.lit(40)).alias("t"), "n_chars")
-    return docs.where(F.col("t").rlike("^[\\x00-\\x7F]*$"))
-
-
-def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text with another one of its own block of 100 ids: doc_id, a, b (the next text of the block)."""
-    order = Window.partitionBy(F.floor(F.col("doc_id") / 100)).orderBy("doc_id")
-    return ascii_documents(spark, sf_dir).select("doc_id", F.col("t").alias("a"), F.lead("t").over(order).alias("b")).where("b is not null")
-
-
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Competing readings: texts of ten neighbouring ids, cut to twelve characters, with scores from their lengths."""
-    line = F.floor(F.col("doc_id") / 10).cast("long")
-    order = Window.partitionBy("line_id").orderBy("doc_id")
-    n, i = F.col("n_chars"), F.col("doc_id")
-    head = F.when(i % 3 == 0, F.left("t", F.lit(12))).when(i % 3 == 1, F.lit("The and attion")).otherwise(F.concat(F.lit("The and att"), F.left("t", F.lit(2))))
-    return ascii_documents(spark, sf_dir).withColumn("line_id", line).select(
-        "line_id", (F.row_number().over(order) - 1).cast("int").alias("ord"), head.alias("text"),
-        ((n % 89) / F.lit(89.0)).alias("recognition_score"), ((n % 47) / F.lit(47.0)).alias("minimum_token_score"), ((n % 31) / F.lit(10.0)).alias("mean_token_margin"),
-        F.when(n % 5 != 0, (n % 23) / F.lit(23.0)).alias("eos_score"), (n % 4 != 0).alias("ended_with_eos"),
-        F.lit("page").alias("source"), F.when(i % 2 == 0, "original").otherwise("padded").alias("preprocessing"),
-        (F.lit(10) + n % 300).cast("double").alias("width"), (F.lit(5) + i % 40).cast("double").alias("height"),
-    )
-
-
-# The same shapes over all documents and whole texts; no SQL, as DuckDB's levenshtein counts bytes.
-
-
-def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their whole texts: doc_id, t, n_chars; a null text counts as empty."""
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), "n_chars")
 
 
-def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Partitioned by ``key`` over all cores: distances of whole texts are long work on few bytes, which adaptive execution
+    would put into one task. Later groups and windows by the key need no other exchange."""
+    session = frame.sparkSession
+    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return frame.repartition(n, key)
+
+
+def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole text with the next one of its block of 100 ids: doc_id, a, b."""
-    order = Window.partitionBy(F.floor(F.col("doc_id") / 100)).orderBy("doc_id")
-    return whole_documents(spark, sf_dir).select("doc_id", F.col("t").alias("a"), F.lead("t").over(order).alias("b")).where("b is not null")
+    blocks = spread(texts(spark, sf_dir).withColumn("block", F.floor(F.col("doc_id") / 100)), "block")
+    order = Window.partitionBy("block").orderBy("doc_id")
+    return blocks.select("doc_id", F.col("t").alias("a"), F.lead("t").over(order).alias("b")).where("b is not null")
 
 
-def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three competing readings of every whole line of every document, with scores from their lengths."""
-    lines = whole_documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("t", "\n")).alias("line_idx", "line"))
+    lines = spread(texts(spark, sf_dir), "doc_id").select("doc_id", F.posexplode(F.split("t", "\n")).alias("line_idx", "line"))
     readings = F.array("line", F.translate("line", "eéио", "cèнe"), F.concat("line", F.lit("~")))
     rows = lines.select("doc_id", F.col("line_idx").cast("long").alias("line_idx"), F.posexplode(readings).alias("ord", "text"))
     n, i = F.length("text") + F.col("doc_id"), F.col("ord")

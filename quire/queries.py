@@ -116,10 +116,14 @@ def percent_crop_url(spark, d):
     return views.detections(spark, d).select("page_id", "det_idx", crops.percent_crop_url(F.lit("https://images.example/p"), F.lit(1234.0), F.lit(987.0), region).alias("url"))
 
 
+def _small(spark, d) -> DataFrame:
+    """All boxes at an eighth of their size, so that pages have gaps to cut at."""
+    return views.detections(spark, d).withColumns({c: F.col(c) / 8 for c in ("width", "height")})
+
+
 @query
 def layout_blocks(spark, d):
-    sparse = views.detections(spark, d).where("det_idx % 5 = 0")
-    return done(order.layout_blocks(sparse).select("page_id", "det_idx", "block"))
+    return done(order.layout_blocks(_small(spark, d)).select("page_id", "det_idx", "block"))
 
 
 @query
@@ -129,15 +133,7 @@ def reading_order(spark, d):
 
 @query
 def reading_order_sparse(spark, d):
-    sparse = views.detections(spark, d).where("det_idx % 5 = 0")
-    return done(order.reading_order(sparse).select("page_id", "det_idx", "reading_order"))
-
-
-@query
-def tiles_topk(spark, d):
-    width = F.when(F.col("page_id") % 2 == 0, 420.0).otherwise(900.0)
-    suspicious = views.detections(spark, d).where("det_idx % 7 = 0").withColumns({"page_width": width, "page_height": F.lit(640.0)})
-    return done(tiles.adaptive_tiles(suspicious, "balanced"))
+    return done(order.reading_order(_small(spark, d)).select("page_id", "det_idx", "reading_order"))
 
 
 @query
@@ -146,13 +142,6 @@ def tile_restore(spark, d):
     return done(views.detections(spark, d).select("page_id", "det_idx", g.restore(tile, g.box(), F.lit(420.0), F.lit(640.0)).alias("b")).select("page_id", "det_idx", "b.*"))
 
 
-@query
-def paper_score(spark, d):
-    boxes = views.detections(spark, d)
-    paper = views.truths(boxes).where("ref_idx < 6").select("page_id", "x", "y", (F.col("width") * 3).alias("width"), (F.col("height") * 3).alias("height"), (F.col("page_id") % 5 / 4.0).alias("confidence"))
-    return done(detect.paper_score(boxes, paper).select("page_id", "det_idx", "paper_score"))
-
-
 @query
 def line_windows(spark, d):
     long_box = g.make_box(F.col("x"), F.col("y"), F.col("width") * 8, F.col("height") / 2)
@@ -191,59 +180,9 @@ def decode_scores(spark, d):
     return done(decoded.select("vec_id", *[f"r.{c}" for c in fields]))
 
 
-@query
-def low_confidence(spark, d):
-    c = views.candidates(spark, d)
-    return done(c.select("line_id", "ord", recognise.low_confidence(recognise.candidate(c), g.make_box(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height")), "balanced").alias("low")))
-
-
-@query
-def candidate_utility(spark, d):
-    c = views.candidates(spark, d)
-    return done(c.select("line_id", "ord", recognise.utility(recognise.candidate(c)).alias("utility")))
-
-
-@query
-def candidate_top_score(spark, d):
-    return done(recognise.top_score(views.candidates(spark, d), "line_id").select("line_id", "selected.ord", "selected.text"))
-
-
-@query
-def candidate_consensus(spark, d):
-    chosen = recognise.select_candidates(views.candidates(spark, d), "line_id")
-    return done(chosen.select("line_id", "selected.ord", "selected.text", F.size("alternatives").alias("n_alternatives"), "uncertain", "reason"))
-
-
-@query
-def strategy_compare(spark, d):
-    return done(recognise.compare_strategies(views.candidates(spark, d), "line_id"))
-
-
 # --- text ---
 
 
-@query
-def edit_distance(spark, d):
-    return done(views.text_pairs(spark, d).select("doc_id", text.edit_distance(F.col("a"), F.col("b")).alias("distance")))
-
-
-@query
-def edit_distance_norm(spark, d):
-    return done(views.text_pairs(spark, d).select("doc_id", text.normalized_distance(F.col("a"), F.col("b")).alias("distance")))
-
-
-@query
-def cer(spark, d):
-    return done(views.text_pairs(spark, d).select("doc_id", text.cer(F.col("a"), F.col("b")).alias("cer")))
-
-
-@query
-def segment_merge(spark, d):
-    cut = lambda at, n: F.substring("t", at, n)
-    pieces = F.array(cut(1, 16), F.concat(cut(12, 2), F.lit("~"), cut(15, 13)), cut(24, 17))
-    return done(views.ascii_documents(spark, d).select("doc_id", text.merge_pieces(pieces).alias("merged")))
-
-
 @query
 def line_search(spark, d):
     lines = views.table(spark, d, "conversations").select("conv_id", "turn", text.trim(F.col("text")).alias("line"))
@@ -361,11 +300,6 @@ def cache_latest(spark, d):
     return done(cache.latest(events, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value"))
 
 
-@query
-def cache_key_hash(spark, d):
-    return views.ascii_documents(spark, d).select("doc_id", text.fnv1a(F.col("t")).alias("hash"))
-
-
 @query
 def upper_median(spark, d):
     values = views.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("v"))
@@ -483,82 +417,74 @@ def page_recognition(spark, d):
     return done(lines.select("page_id", "det_idx", "text", "recognition_score", "reason", "uncertain", "n_alternatives", "reading_order"))
 
 
-# --- all documents and whole texts or lines, without SQL ---
+# --- whole texts, and competing readings of every whole line ---
 
 LINE = ("doc_id", "line_idx")
 
 
 @query
-def edit_distance_whole(spark, d):
-    return done(views.whole_pairs(spark, d).select("doc_id", text.edit_distance(F.col("a"), F.col("b")).alias("distance")))
+def edit_distance(spark, d):
+    return done(views.text_pairs(spark, d).select("doc_id", text.edit_distance(F.col("a"), F.col("b")).alias("distance")))
 
 
 @query
-def edit_distance_norm_whole(spark, d):
-    return done(views.whole_pairs(spark, d).select("doc_id", text.normalized_distance(F.col("a"), F.col("b")).alias("distance")))
+def edit_distance_norm(spark, d):
+    return done(views.text_pairs(spark, d).select("doc_id", text.normalized_distance(F.col("a"), F.col("b")).alias("distance")))
 
 
 @query
-def cer_whole(spark, d):
-    return done(views.whole_pairs(spark, d).select("doc_id", text.cer(F.col("a"), F.col("b")).alias("cer")))
+def cer(spark, d):
+    return done(views.text_pairs(spark, d).select("doc_id", text.cer(F.col("a"), F.col("b")).alias("cer")))
 
 
 @query
-def segment_merge_whole(spark, d):
+def segment_merge(spark, d):
     third = F.floor(F.length("t") / 3).cast("int")
     pieces = F.array(F.substring(F.col("t"), F.lit(1), third + 5), F.substring(F.col("t"), third + 1, third + 5), F.substring(F.col("t"), 2 * third + 1, F.length("t")))
-    return done(views.whole_documents(spark, d).select("doc_id", text.merge_pieces(pieces).alias("merged")))
+    return done(views.texts(spark, d).select("doc_id", text.merge_pieces(pieces).alias("merged")))
 
 
 @query
-def cache_key_hash_whole(spark, d):
-    return views.whole_documents(spark, d).select("doc_id", text.fnv1a(F.col("t")).alias("hash"))
+def cache_key_hash(spark, d):
+    return views.texts(spark, d).select("doc_id", text.fnv1a(F.col("t")).alias("hash"))
 
 
 @query
-def low_confidence_lines(spark, d):
-    c = views.line_candidates(spark, d)
+def low_confidence(spark, d):
+    c = views.candidates(spark, d)
     return done(c.select(*LINE, "ord", recognise.low_confidence(recognise.candidate(c), g.make_box(F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height")), "balanced").alias("low")))
 
 
 @query
-def candidate_utility_lines(spark, d):
-    c = views.line_candidates(spark, d)
+def candidate_utility(spark, d):
+    c = views.candidates(spark, d)
     return done(c.select(*LINE, "ord", recognise.utility(recognise.candidate(c)).alias("utility")))
 
 
 @query
-def candidate_top_score_lines(spark, d):
-    return done(recognise.top_score(views.line_candidates(spark, d), *LINE).select(*LINE, "selected.ord", "selected.text"))
+def candidate_top_score(spark, d):
+    return done(recognise.top_score(views.candidates(spark, d), *LINE).select(*LINE, "selected.ord", "selected.text"))
 
 
 @query
-def candidate_consensus_lines(spark, d):
-    chosen = recognise.select_candidates(views.line_candidates(spark, d), *LINE)
+def candidate_consensus(spark, d):
+    chosen = recognise.select_candidates(views.candidates(spark, d), *LINE)
     return done(chosen.select(*LINE, "selected.ord", "selected.text", F.size("alternatives").alias("n_alternatives"), "uncertain", "reason"))
 
 
 @query
-def strategy_compare_lines(spark, d):
-    return done(recognise.compare_strategies(views.line_candidates(spark, d), *LINE))
-
-
-# --- all boxes, without SQL; reading_order has them already ---
-
-
-@query
-def layout_blocks_whole(spark, d):
-    return done(order.layout_blocks(views.detections(spark, d)).select("page_id", "det_idx", "block"))
+def strategy_compare(spark, d):
+    return done(recognise.compare_strategies(views.candidates(spark, d), *LINE))
 
 
 @query
-def tiles_topk_whole(spark, d):
+def tiles_topk(spark, d):
     width = F.when(F.col("page_id") % 2 == 0, 420.0).otherwise(900.0)
     return done(tiles.adaptive_tiles(views.detections(spark, d).withColumns({"page_width": width, "page_height": F.lit(640.0)}), "balanced"))
 
 
 @query
-def paper_score_whole(spark, d):
+def paper_score(spark, d):
     boxes = views.detections(spark, d)
     paper = views.truths(boxes).select("page_id", "x", "y", (F.col("width") * 3).alias("width"), (F.col("height") * 3).alias("height"), (F.col("page_id") % 5 / 4.0).alias("confidence"))
     return done(detect.paper_score(boxes, paper).select("page_id", "det_idx", "paper_score"))

@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_box_has_a_row(spark):
     boxes = {(r["page_id"], r["det_idx"]) for r in views.detections(spark, SF).collect()}
-    for name in ("layout_blocks_whole", "paper_score_whole"):
+    for name in ("layout_blocks", "paper_score"):
         rows = QUERIES[name](spark, SF).collect()
         assert len(rows) == len(boxes) and {(r["page_id"], r["det_idx"]) for r in rows} == boxes, name
-    assert {r["page_id"] for r in QUERIES["tiles_topk_whole"](spark, SF).collect()} <= {p for p, _ in boxes}
+    assert {r["page_id"] for r in QUERIES["tiles_topk"](spark, SF).collect()} <= {p for p, _ in boxes}

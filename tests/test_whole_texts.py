@@ -40,20 +40,20 @@ def run(spark, folder, name, keys):
 def test_whole_texts(spark, folder):
     t = [x or "" for x in TEXTS]
     d = [distance(a, b) for a, b in zip(t, t[1:])]
-    assert run(spark, folder, "edit_distance_whole", 1) == {(i,): (x,) for i, x in enumerate(d)}
-    assert run(spark, folder, "edit_distance_norm_whole", 1) == {(i,): (round(x / (max(len(t[i]), len(t[i + 1])) or 1), 6),) for i, x in enumerate(d)}
-    assert run(spark, folder, "cer_whole", 1) == {(i,): (round(x / len(t[i]), 6) if t[i] else float(bool(t[i + 1])),) for i, x in enumerate(d)}
-    assert run(spark, folder, "cache_key_hash_whole", 1) == {(i,): (fnv(x),) for i, x in enumerate(t)}
-    assert len(run(spark, folder, "segment_merge_whole", 1)) == len(t)
+    assert run(spark, folder, "edit_distance", 1) == {(i,): (x,) for i, x in enumerate(d)}
+    assert run(spark, folder, "edit_distance_norm", 1) == {(i,): (round(x / (max(len(t[i]), len(t[i + 1])) or 1), 6),) for i, x in enumerate(d)}
+    assert run(spark, folder, "cer", 1) == {(i,): (round(x / len(t[i]), 6) if t[i] else float(bool(t[i + 1])),) for i, x in enumerate(d)}
+    assert run(spark, folder, "cache_key_hash", 1) == {(i,): (fnv(x),) for i, x in enumerate(t)}
+    assert len(run(spark, folder, "segment_merge", 1)) == len(t)
 
 
 def test_whole_lines(spark, folder):
     lines = {(i, k): x for i, t in enumerate(TEXTS) for k, x in enumerate((t or "").split("\n"))}
-    for name in ("low_confidence_lines", "candidate_utility_lines"):
+    for name in ("low_confidence", "candidate_utility"):
         assert set(run(spark, folder, name, 3)) == {(*k, o) for k in lines for o in range(3)}
-    for name in ("candidate_consensus_lines", "strategy_compare_lines"):
+    for name in ("candidate_consensus", "strategy_compare"):
         assert set(run(spark, folder, name, 2)) == set(lines)
-    top = run(spark, folder, "candidate_top_score_lines", 2)
+    top = run(spark, folder, "candidate_top_score", 2)
     for (i, k), x in lines.items():
         read = [x, x.translate(str.maketrans("eéио", "cèнe")), x + "~"]
         best = max(range(3), key=lambda o: ((len(read[o]) + i) % 89, -o))
