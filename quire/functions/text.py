@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,20 +30,75 @@ def utf16_length(text: Column) -> Column:
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance over code points."""
+    """Levenshtein distance over code points, for lines; it can stand in a lambda. Whole texts: :func:`text_distance`."""
     return F.levenshtein(a, b)
 
 
-def normalized_distance(a: Column, b: Column) -> Column:
+#: Texts with at most so many cells in the table of distances are left to the built-in.
+CELLS = 65_536
+
+
+def edits(a: str, b: str) -> int:
+    """Levenshtein distance over code points. A column of the table is two integers of one bit per code point (Myers 1999),
+    so that time is the product of the lengths over 64 and memory the sum of the lengths."""
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    n = len(long)
+    if not short:
+        return n
+    codes = np.frombuffer(long.encode("utf-32-le", "surrogatepass"), "<u4")
+    places = {c: int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little") for c in set(short)}
+    every, last = (1 << n) - 1, n - 1
+    more, less, distance = every, 0, n  # bits: the next cell below is one higher, one lower
+    for c in short:
+        same = places[c]
+        vertical = same | less
+        diagonal = (((same & more) + more) ^ more) | same
+        up = less | (every ^ ((diagonal | more) & every))
+        down = more & diagonal
+        distance += (up >> last & 1) - (down >> last & 1)
+        up = up << 1 | 1
+        more = (down << 1 | ~(vertical | up)) & every
+        less = up & vertical & every
+    return distance
+
+
+@arrow_udf(T.IntegerType())
+def _edits(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else edits(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+
+
+def text_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance over code points, for texts of any length: the built-in for short pairs, bit columns in an Arrow
+    function for long ones (it gets nulls for the others). Null if either text is null."""
+    short = F.length(a).cast("long") * F.length(b) <= CELLS
+    return F.when(short, F.levenshtein(a, b)).otherwise(_edits(F.when(~short, a), F.when(~short, b)))
+
+
+def within(a: Column, b: Column, limit: Column) -> Column:
+    """Whether the edit distance of two lines is at most ``limit`` (int); null if either line is null.
+
+    Unequal lengths bound the distance from below, and code points that differ at equal places bound it from above. The
+    table of distances is filled, near its diagonal, only where neither bound decides.
+    """
+    differing = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y)), lambda same: ~same))
+    return (
+        F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean"))
+        .when(F.abs(F.length(a) - F.length(b)) > limit, False)
+        .when(differing <= limit, True)
+        .otherwise(F.call_function("levenshtein", a, b, limit) >= 0)
+    )
+
+
+def normalized_distance(a: Column, b: Column, distance: Callable[[Column, Column], Column] = edit_distance) -> Column:
     """Distance over the longer length; two empty texts are equal."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest > 0, edit_distance(a, b) / longest).otherwise(F.lit(0.0))
+    return F.when(longest > 0, distance(a, b) / longest).otherwise(F.lit(0.0))
 
 
-def cer(reference: Column, prediction: Column) -> Column:
+def cer(reference: Column, prediction: Column, distance: Callable[[Column, Column], Column] = edit_distance) -> Column:
     """Character error rate; an empty reference gives 1 for any prediction and 0 for none."""
     n = F.length(reference)
-    return F.when(n > 0, edit_distance(reference, prediction) / n).otherwise(F.when(F.length(prediction) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return F.when(n > 0, distance(reference, prediction) / n).otherwise(F.when(F.length(prediction) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
 def fnv1a(text: Column) -> Column:

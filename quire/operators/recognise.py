@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
 from quire.functions.numeric import FLOOR, let, log_softmax, probability
-from quire.functions.text import edit_distance, is_blank, merge_pieces, utf16_length
+from quire.functions.text import is_blank, merge_pieces, utf16_length, within
 from quire.plans.config import RETRY
 
 EPSILON = 1e-9
@@ -109,7 +109,7 @@ def candidate(frame: DataFrame) -> Column:
 def same_cluster(a: Column, b: Column) -> Column:
     """Whether two texts are readings of the same line: equal, or a quarter of the length apart at most (1 at least)."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when((longest <= 1) | (a == b), a == b).otherwise(edit_distance(a, b) <= F.greatest(F.lit(1), F.floor(longest * 0.25).cast("int")))
+    return F.when((longest <= 1) | (a == b), a == b).otherwise(within(a, b, F.greatest(F.lit(1), F.floor(longest * 0.25).cast("int"))))
 
 
 def _kinds(cluster: Column) -> Column:

@@ -424,24 +424,24 @@ LINE = ("doc_id", "line_idx")
 
 @query
 def edit_distance(spark, d):
-    return done(views.text_pairs(spark, d).select("doc_id", text.edit_distance(F.col("a"), F.col("b")).alias("distance")))
+    return done(views.text_pairs(spark, d).select("doc_id", text.text_distance(F.col("a"), F.col("b")).alias("distance")))
 
 
 @query
 def edit_distance_norm(spark, d):
-    return done(views.text_pairs(spark, d).select("doc_id", text.normalized_distance(F.col("a"), F.col("b")).alias("distance")))
+    return done(views.text_pairs(spark, d).select("doc_id", text.normalized_distance(F.col("a"), F.col("b"), text.text_distance).alias("distance")))
 
 
 @query
 def cer(spark, d):
-    return done(views.text_pairs(spark, d).select("doc_id", text.cer(F.col("a"), F.col("b")).alias("cer")))
+    return done(views.text_pairs(spark, d).select("doc_id", text.cer(F.col("a"), F.col("b"), text.text_distance).alias("cer")))
 
 
 @query
 def segment_merge(spark, d):
     third = F.floor(F.length("t") / 3).cast("int")
     pieces = F.array(F.substring(F.col("t"), F.lit(1), third + 5), F.substring(F.col("t"), third + 1, third + 5), F.substring(F.col("t"), 2 * third + 1, F.length("t")))
-    return done(views.texts(spark, d).select("doc_id", text.merge_pieces(pieces).alias("merged")))
+    return done(views.spread(views.texts(spark, d), "doc_id").select("doc_id", text.merge_pieces(pieces).alias("merged")))
 
 
 @query
