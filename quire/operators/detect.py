@@ -2,15 +2,18 @@
 
 Tables have a row per box: the page key, ``det_idx`` (order within the page), x, y, width, height and ``score``.
 Suppression and merging fold over one page's boxes in order; a page is one row's array then, so the whole table needs a
-single exchange by page key, which later per-page steps reuse.
+single exchange by page key, which later per-page steps reuse. Suppression and merging loop in numpy.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from quire.functions import geometry as g
 
@@ -50,18 +53,51 @@ def per_page(boxes: DataFrame, page: str, *order: Column) -> DataFrame:
     return boxes.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("boxes"))
 
 
+#: Rows of the table of overlaps that are filled at once; the whole table of a dense page would be quadratic in memory.
+BLOCK = 64
+
+
+def kept_boxes(x: np.ndarray, iou: float, smaller: float) -> np.ndarray:
+    """Places of the boxes that suppression keeps. ``x``: rows of x, y, width, height of one page, best first."""
+    low, high = x[:, :2], x[:, :2] + x[:, 2:4]
+    area = np.maximum(0.0, x[:, 2]) * np.maximum(0.0, x[:, 3])
+    alive = np.ones(len(x), bool)
+    for start in range(0, len(x), BLOCK):
+        rows = np.flatnonzero(alive[start : start + BLOCK]) + start
+        side = np.maximum(0.0, np.minimum(high[rows, None], high[None, start:]) - np.maximum(low[rows, None], low[None, start:]))
+        common = side[..., 0] * side[..., 1]
+        union = area[rows, None] + area[None, start:] - common
+        least = np.minimum(area[rows, None], area[None, start:])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hit = (np.where(union > 0, common / union, 0.0) >= iou) | (np.where(least > 0, common / least, 0.0) >= smaller)
+        for k, row in enumerate(rows):
+            if alive[row]:
+                alive[row + 1 :] &= ~hit[k, row + 1 - start :]
+    return np.flatnonzero(alive)
+
+
 def global_nms(boxes: DataFrame, page: str = "page_id", iou: float = IOU, smaller: float = SMALLER) -> DataFrame:
     """Non-maximum suppression per page: by descending score, a box is kept unless a kept box overlaps it too much.
 
-    Suppressed boxes do not suppress. Both thresholds count as reached when equal; ties go to the lower index.
-    Columns: the page, det_idx, x, y, width, height, score, rank (order of keeping).
+    Suppressed boxes do not suppress. Both thresholds count as reached when equal; ties go to the lower index; a box with
+    an unknown coordinate is kept and suppresses none. Columns: the page, det_idx, x, y, width, height, score, rank (order
+    of keeping). Whether a box is kept depends on all before it, so a page is folded in numpy, many pages to a call.
     """
-    pages = per_page(boxes, page, (-F.col("score").cast("double")).alias("key"))
-    none = F.expr(f"cast(array() as array<struct<key:double,idx:bigint,score:double,box:{g.BOX}>>)")
-    item = lambda d: F.struct(d["key"].alias("key"), d["idx"].cast("long").alias("idx"), d["score"].alias("score"), d["box"].alias("box"))
-    hit = lambda d: (lambda k: (g.iou(d["box"], k["box"]) >= iou) | (g.overlap_over_smaller(d["box"], k["box"]) >= smaller))
-    kept = F.aggregate("boxes", none, lambda acc, d: F.when(F.exists(acc, hit(d)), acc).otherwise(F.concat(acc, F.array(item(d)))))
-    return pages.select(page, F.posexplode(kept).alias("rank", "d")).select(page, F.col("d.idx").alias("det_idx"), "d.box.*", "d.score", "rank")
+
+    @arrow_udf(T.ArrayType(T.IntegerType(), False))
+    def places(x: pa.Array, y: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
+        flat = np.column_stack([c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in (x, y, width, height)])
+        ends = np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False))
+        kept = [kept_boxes(flat[start:end], iou, smaller) for start, end in zip(np.concatenate(([0], ends)), ends)]
+        offsets = np.concatenate(([0], np.cumsum([len(k) for k in kept])))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, int), *kept]), pa.int32()))
+
+    sides = [F.col(f"boxes.box.{c}").cast("array<double>") for c in ("x", "y", "width", "height")]
+    pages = per_page(boxes, page, (-F.col("score").cast("double")).alias("key")).withColumn("kept", places(*sides))
+    return (
+        pages.select(page, F.posexplode(F.transform("kept", lambda k: F.get("boxes", k))).alias("rank", "d"))
+        .select(page, F.col("d.idx").cast("long").alias("det_idx"), "d.box.*", "d.score", "rank")
+    )
 
 
 def orientation_votes(boxes: DataFrame, page: str = "page_id") -> DataFrame:

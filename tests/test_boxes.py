@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
@@ -135,3 +136,24 @@ def test_detection_filter(spark):
     got = {r["det_idx"]: r for r in detect.filter_detections(raw, 0.24, 1024, 100, 100).collect()}
     assert sorted(got) == [0]
     assert (got[0]["y"], got[0]["height"]) == (9.0, 32.0)
+
+
+def test_suppression_replayed(spark):
+    rng = np.random.default_rng(3)
+    pages = {0: 1, 1: 7, 2: 63, 3: 64, 4: 65, 5: 400}
+    rows = [(p, i, *map(float, rng.integers(0, 60 if n < 100 else 300, 2)), *map(float, rng.integers(0, 30, 2)), float(rng.integers(0, 9)) / 8) for p, n in pages.items() for i in range(n)]
+    frame = spark.createDataFrame(rows, "page_id long, det_idx long, x double, y double, width double, height double, score double")
+
+    def share(a, b):
+        common = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+        u, s = a[2] * a[3] + b[2] * b[3] - common, min(a[2] * a[3], b[2] * b[3])
+        return (common / u if u > 0 else 0.0), (common / s if s > 0 else 0.0)
+
+    want = set()
+    for p in pages:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == p), key=lambda r: (-r[6], r[1])):
+            if not any(share(r[2:6], k[2:6])[0] >= 0.5 or share(r[2:6], k[2:6])[1] >= 0.8 for k in kept):
+                kept.append(r)
+        want |= {(p, r[1], k) for k, r in enumerate(kept)}
+    assert {tuple(r) for r in detect.global_nms(frame, iou=0.5, smaller=0.8).select("page_id", "det_idx", "rank").collect()} == want
