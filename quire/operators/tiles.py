@@ -16,7 +16,8 @@ def adaptive_tiles(regions: DataFrame, profile: str, page: str = "page_id", widt
     """The tiles that cover most of a page's suspicious regions: page, tile_id, x, y, width, height, coverage, rank.
 
     ``regions`` has a row per region with its page's size. Tall pages have 3 x 1 tiles, others 2 x 2, overlapping by 15 %.
-    Only tiles that touch a region count; ties go to the lower id. The fast profile has no tiles.
+    Only tiles that touch a region count; ties go to the lower id. Coverages tie where they are equal to six places, as the
+    last digits of a sum depend on the order of its regions. The fast profile has no tiles.
     """
     limit = TILES.get(profile, TILES["balanced"])
     pages = regions.groupBy(page).agg(F.max(width).cast("double").alias("_w"), F.max(height).cast("double").alias("_h"), F.collect_list(g.box()).alias("_regions"))
@@ -35,7 +36,7 @@ def adaptive_tiles(regions: DataFrame, profile: str, page: str = "page_id", widt
     tiled = cells.withColumn("tile", g.clip(raw, F.col("_w"), F.col("_h")))
     covered = F.aggregate("_regions", F.lit(0.0), lambda s, b: s + g.intersection(F.col("tile"), b))
     scored = tiled.withColumn("coverage", covered).where("coverage > 0").withColumn("tile_id", F.concat_ws("-", r.cast("string"), c.cast("string")))
-    order = Window.partitionBy(page).orderBy(F.col("coverage").desc(), "tile_id")
+    order = Window.partitionBy(page).orderBy(F.round("coverage", 6).desc(), "tile_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(page, "tile_id", "tile.*", "coverage", "rank")
 
 

@@ -108,6 +108,13 @@ def test_tiles(spark):
     assert restored["x"] >= 0 and restored["x"] + restored["width"] <= 100
 
 
+def test_tiles_of_equal_coverage_go_by_id(spark):
+    # 3 x (245 1/3 - 240) in the first tile and 4 x 4 in the last are both 16; as doubles the first is 15.99999999999994
+    frame = boxes(spark, [(0, 240, 3, 20), (0, 500, 4, 4)]).withColumns({"page_width": F.lit(420.0), "page_height": F.lit(640.0)})
+    assert [(r["rank"], r["tile_id"]) for r in tiles.adaptive_tiles(frame, "accurate").orderBy("rank").collect()] == [(1, "1-0"), (2, "0-0"), (3, "2-0")]
+    assert [r["tile_id"] for r in tiles.adaptive_tiles(frame, "balanced").orderBy("rank").collect()] == ["1-0", "0-0"]
+
+
 def test_windows_and_gaps(spark):
     assert len(one(spark, tiles.line_windows(literal(0, 0, 400, 20), F.lit(400.0), F.lit(40.0), most=3))) == 3
     assert len(one(spark, tiles.line_windows(literal(0, 0, 100, 20), F.lit(400.0), F.lit(40.0)))) == 1
